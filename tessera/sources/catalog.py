@@ -66,8 +66,4 @@ def sweep(inspector: StoreInspector | SparkInspector, include: Iterable[str] | N
         names = [n for n in names if n not in set(exclude)]
     if not names:
         raise InspectionError("no table is left")
-    out = []
-    for n in names:
-        schema, _, name = n.rpartition(".")
-        out.append(inspector.table(name, schema or None))
-    return out
+    return [inspector.tables[n] if isinstance(inspector, StoreInspector) else inspector.table(n) for n in names]

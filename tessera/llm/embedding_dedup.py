@@ -107,7 +107,6 @@ def close_pairs(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: floa
     """Rows of unit vectors a and b whose cosine reaches the threshold; of one tile with itself only i < j."""
     ra, rb = a @ basis, b @ basis
     i = j = None
-    done, partial = 0, None
     for lead in (*[k for k in leads if k < len(basis)], len(basis)):
         if lead == len(basis):
             break
@@ -119,7 +118,6 @@ def close_pairs(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: floa
             i, j = np.nonzero(part >= threshold - _SLACK)
             if same:
                 i, j = i[i < j], j[i < j]
-            done = lead
         else:
             keep = np.concatenate([np.zeros(0, bool), *((np.einsum("ij,ij->i", ra[i[k : k + 65536], :lead], rb[j[k : k + 65536], :lead]) + sa[i[k : k + 65536]] * sb[j[k : k + 65536]]) >= threshold - _SLACK for k in range(0, len(i), 65536))])
             i, j = i[keep], j[keep]
@@ -141,7 +139,7 @@ def _compare(basis: np.ndarray, threshold: float):
         sides = [np.flatnonzero(tile == t) for t in np.unique(tile)]
         one = len(sides) == 1
         left, right = sides[0], sides[-1]
-        links, label = np.zeros(len(x), np.int64), np.arange(len(x))
+        links = np.zeros(len(x), np.int64)
         pairs = []
         if not one or table.column("i")[0].as_py() == table.column("j")[0].as_py():
             for k in range(0, len(left), 2048):

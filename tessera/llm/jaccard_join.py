@@ -201,11 +201,6 @@ def _scatter(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
-def linked(n: np.ndarray, inter: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of sets of sizes ``n`` with these overlaps are similar enough."""
-    return (inter > 0) & (100 * inter.astype(np.int64) >= percent * (n[:, None] + n[None, :] - inter.astype(np.int64)))
-
-
 def _block(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Of one block (or two against each other): edges that connect what its links connect."""

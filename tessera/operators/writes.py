@@ -289,12 +289,6 @@ def _children_of(tx: Transaction, d: TableDef) -> list[tuple[TableDef, ForeignKe
     return [(child, f) for child in tx.definitions() for f in child.foreign_keys if (f"{f.schema}.{f.table}" if f.schema else f.table) == d.key]
 
 
-def _matches(child: DataFrame, f: ForeignKeyDef, keys: DataFrame) -> Column:
-    """Children whose key is among ``keys`` (columns _k0, _k1, ...)."""
-    marked = keys.select(*keys.columns).distinct()
-    return reduce(and_, (child[c] == marked[f"_k{i}"] for i, c in enumerate(f.columns)))
-
-
 def _follow_delete(tx: Transaction, d: TableDef, gone: str) -> None:
     """Apply the children's actions for deleted rows."""
     for child, f in _children_of(tx, d):

@@ -9,8 +9,9 @@ by token on the hit's diagonal: an overlap is verified where at least ``WINDOW``
 hit of one of them (tests prove it over all placements of the misses), so no overlap is lost.
 
 The benchmark's seeds are broadcast if their counted rows keep within ``SMALL``; a larger
-benchmark is joined by a shuffle on the seed. Long texts are cut into stretches of ``STRETCH``
-tokens with enough of their neighbours to see every window.
+benchmark is joined by a shuffle on the seed. A seed carries the ``_NEAR`` tokens around it and no
+more, so a row has one bounded size however long its item is. Long texts are cut into stretches of
+``STRETCH`` tokens with enough of their neighbours to see every window.
 
 Defined cases: null or empty texts on either side match nothing, nor do items of fewer than
 ``WINDOW`` - ``MISSES`` tokens. Repeated rows of an id are one document; rows with a null id are
@@ -32,6 +33,7 @@ SMALL = 500_000
 
 _SPAN = max(m[-1] for m in MASKS) + 1
 _SIDE = WINDOW - 1
+_NEAR = _SPAN + 2 * _SIDE
 
 
 def _tokens(text):
@@ -48,22 +50,31 @@ def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
     return spread.select(*keep, (F.col("low") + F.col("k")).alias("at"), "part", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
+def _around(name: str) -> list:
+    """The tokens around a seed as ``name``_near, and how many of them stand before it as ``name``_back."""
+    back = F.least(F.col("at"), F.lit(_SIDE))
+    return [back.alias(f"{name}_back"), F.slice("part", F.col("at") - back + 1, F.lit(_NEAR)).alias(f"{name}_near")]
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched) of every verified overlap; matched is the most equal tokens in a window."""
     items = benchmark.select(F.col("item_id"), _tokens(F.col("text")).alias("part")).where(F.size("part") >= WINDOW - MISSES)
     items = items.withColumns({"low": F.lit(0), "high": F.size("part")})
-    index = _seeds(items, ["item_id"]).select(F.col("seed"), "item_id", F.col("at").alias("item_at"), F.col("part").alias("item_part")).distinct()
+    index = _seeds(items, ["item_id"]).select("seed", "item_id", *_around("item")).distinct()
     rows = index.count()
-    index = F.broadcast(index) if rows <= SMALL else index
     whole = docs.select(F.col("doc_id"), _tokens(F.col("text")).alias("t")).where(F.size("t") >= WINDOW - MISSES)
     cut = whole.select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.size("t") - 1, F.lit(STRETCH))).alias("s"))
     before = F.least(F.col("s"), F.lit(_SIDE))
     parts = cut.select("doc_id", F.slice("t", F.col("s") - before + 1, F.lit(STRETCH + 2 * (_SIDE + _SPAN))).alias("part"), before.alias("low"))
     parts = parts.withColumn("high", F.least(F.size("part"), F.col("low") + STRETCH))
-    hits = _seeds(parts, ["doc_id"]).join(index, "seed")
-    back = F.least(F.col("at"), F.col("item_at"), F.lit(_SIDE))
-    length = F.lit(_SPAN + 2 * _SIDE)
-    near = hits.select("doc_id", "item_id", F.slice("part", F.col("at") - back + 1, length).alias("x"), F.slice("item_part", F.col("item_at") - back + 1, length).alias("y"))
+    seeds = _seeds(parts, ["doc_id"])
+    if rows <= SMALL:
+        hits, at, tokens = seeds.join(F.broadcast(index), "seed"), F.col("at"), "part"
+    else:
+        hits, at, tokens = seeds.select("seed", "doc_id", *_around("doc")).join(index, "seed"), F.col("doc_back"), "doc_near"
+    back = F.least(at, F.col("item_back"), F.lit(_SIDE))
+    x, y = F.slice(tokens, at - back + 1, F.lit(_NEAR)), F.slice("item_near", F.col("item_back") - back + 1, F.lit(_NEAR))
+    near = hits.select("doc_id", "item_id", x.alias("x"), y.alias("y"))
     same = near.select("doc_id", "item_id", F.zip_with("x", "y", lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))).alias("same")).where(F.aggregate("same", F.lit(0), lambda a, x: a + x) >= WINDOW - MISSES)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same")), lambda i: F.aggregate(F.slice("same", i, WINDOW), F.lit(0), lambda a, x: a + x)))
     return same.select("doc_id", "item_id", best.alias("matched")).where(F.col("matched") >= WINDOW - MISSES).groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"))

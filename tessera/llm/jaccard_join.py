@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .scratch import cut
-from .words import U, hashed, mix, pieces
+from .words import U, hashed, mix, pieces, releasing
 
 _LOW = 40
 _STEP = (U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
@@ -251,9 +251,9 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         bits = max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     chunk_bytes = min(64 << 20, max(4 << 20, 512 << bits))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("key"))
-    packed = slim.mapInArrow(_scan(k, bits, chunk_bytes), "bucket int, chunk long, payload binary")
-    shared = packed.groupBy("bucket").applyInArrow(_count, "chunk long, bucket int, payload binary")
-    return shared.groupBy("chunk").applyInArrow(_gather(percent), _DOC)
+    packed = slim.mapInArrow(releasing(_scan(k, bits, chunk_bytes)), "bucket int, chunk long, payload binary")
+    shared = packed.groupBy("bucket").applyInArrow(releasing(_count), "chunk long, bucket int, payload binary")
+    return shared.groupBy("chunk").applyInArrow(releasing(_gather(percent)), _DOC)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -325,7 +325,7 @@ def _open_links(spark: SparkSession, held: DataFrame, lists: DataFrame, sets: Da
     dealt = members.join(blocks, "cand").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("share", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cand"), F.lit(shares))).otherwise(F.col("cand"))).withColumn("i", F.when(F.col("blocks") == 1, -1).otherwise(F.least("side", "other"))).withColumn("j", F.greatest("side", "other"))
-    return cut(dealt.groupBy("share", "i", "j").applyInArrow(_block(percent), "a long, b long"))
+    return cut(dealt.groupBy("share", "i", "j").applyInArrow(releasing(_block(percent)), "a long, b long"))
 
 
 ORACLE = r"""

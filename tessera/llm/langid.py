@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import cut
-from .words import U, WordRows, hash_spans, lower_ascii, pieces, raw, spans
+from .words import U, WordRows, hash_spans, lower_ascii, pieces, raw, releasing, spans
 
 UNKNOWN = "und"
 _STRETCH, _SCALE = 32, 32.0
@@ -287,11 +287,11 @@ def fit(labelled: DataFrame, vocabulary_path: str, sample_rows: int = 500, round
     for lang in langs:
         part = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_rows / counts[lang]))).otherwise(part)
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part * (1 << 30))
-    words = sample.select("lang", "text").mapInArrow(_word_counts, "lang string, word binary, n long")
+    words = sample.select("lang", "text").mapInArrow(releasing(_word_counts), "lang string, word binary, n long")
     words = cut(words.groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(spark.sparkContext.defaultParallelism, "word"))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((known, table))
-        got = words.mapInArrow(_expect(shared, langs), "g int, piece int, n double").groupBy("g", "piece").agg(F.sum("n").alias("n")).toArrow()
+        got = words.mapInArrow(releasing(_expect(shared, langs)), "g int, piece int, n double").groupBy("g", "piece").agg(F.sum("n").alias("n")).toArrow()
         table = np.full_like(table, smoothing)
         np.add.at(table, (got.column("piece").to_numpy(), got.column("g").to_numpy()), got.column("n").to_numpy())
         table /= table.sum(axis=0)
@@ -317,7 +317,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
                 best.append(b), score.append(s)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(said[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score))], [*keep, *names])
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(releasing(run), schema)
 
 
 def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:

@@ -6,7 +6,9 @@ random byte codes modulo 2**64, mixed; two different words agree with a chance o
 
 from __future__ import annotations
 
-from functools import lru_cache
+import ctypes
+from collections.abc import Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +122,38 @@ def _lengths(column) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+@lru_cache(None)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Hand memory that is free, but still held by the allocators of Arrow and the C library, back to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def releasing(run):
+    """``run``, a function of Arrow batches or of one Arrow table, that leaves no free memory with its idle worker."""
+
+    @wraps(run)
+    def wrapped(given):
+        if not isinstance(given, pa.Table):
+            return _then_release(run(given))
+        out = run(given)
+        release()
+        return out
+
+    return wrapped
+
+
+def _then_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from batches
+    finally:
+        release()
+
+
 class WordRows:
     """Row numbers for the word hashes seen so far by this worker, in sorted arrays of bounded size.
 

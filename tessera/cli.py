@@ -3,7 +3,7 @@
     python -m tessera.cli --store DIR status|plan|apply|revert|verify --migrations DIR [--through ID] [--steps N]
     python -m tessera.cli --store DIR diff --schema FILE.json --migrations DIR --id ID --name NAME
     python -m tessera.cli --store DIR dump
-    python -m tessera.cli --store DIR generate --out FILE.py [--check]
+    python -m tessera.cli --store DIR generate [--settings FILE.json] [--out FILE.py] [--check]
 """
 
 from __future__ import annotations
@@ -11,17 +11,18 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .codegen import check_module, store_module, write_module
-from .errors import InspectionError, TesseraError
+from .codegen.settings import Settings
+from .errors import TesseraError
 from .migrations import Runner, diff_schemas, load_directory, write_migration
 from .migrations.diff import topological
 from .migrations.runner import State
 from .plans.schema import TableDef
-from .sources.catalog import StoreInspector, sweep
+from .sources.catalog import HISTORY, StoreInspector, sweep
 from .sources.store import Store
 
 
@@ -29,7 +30,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p = argparse.ArgumentParser(prog="tessera")
     p.add_argument("--store", required=True)
     p.add_argument("verb", choices="status plan apply revert verify diff dump generate".split())
-    for name in ("migrations", "schema", "id", "name", "through", "out"):
+    for name in ("migrations", "schema", "id", "name", "through", "out", "settings"):
         p.add_argument(f"--{name}")
     p.add_argument("--steps", type=int)
     p.add_argument("--check", action="store_true")
@@ -43,11 +44,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
 
 
-def _live(store: Store) -> list[TableDef]:
-    try:
-        return sweep(StoreInspector(store))
-    except InspectionError:
+def _live(store: Store, include: list[str] | None = None, exclude: list[str] | None = None) -> list[TableDef]:
+    inspector = StoreInspector(store)
+    if include is None and exclude is None and set(inspector.table_names()) <= {HISTORY}:
         return []
+    return sweep(inspector, include, exclude)
 
 
 def _run(a: argparse.Namespace, store: Store) -> int:
@@ -56,10 +57,14 @@ def _run(a: argparse.Namespace, store: Store) -> int:
         print(json.dumps([t.to_json() for t in topological(_live(store))], indent=2))
         return 0
     if a.verb == "generate":
-        source = store_module(_live(store))
+        how = Settings.load(a.settings) if a.settings else Settings()
+        if a.out:
+            how = replace(how, out=str(Path(a.out).absolute()))
+        tables = _live(store, how.include, how.exclude)
         if a.check:
-            return 0 if check_module(a.out, source) else 1
-        write_module(a.out, source)
+            return 0 if how.check(tables) else 1
+        for path in how.write(tables):
+            print(path)
         return 0
     if a.verb == "diff":
         desired = [TableDef.from_json(x) for x in json.loads(Path(a.schema).read_text())]

@@ -3,6 +3,8 @@
 A migration is a list of JSON steps on the store: ``create_table``, ``add_columns``, ``drop_table``
 and ``drop_columns`` (of which the last two are written by hand), or Spark SQL text run against
 temporary views of the tables. A migration becomes visible as one transaction with its history row.
+Applying and reverting hold the store's migration lock over their whole run, so of two runners the
+second waits, and then sees what the first has done.
 """
 
 from __future__ import annotations
@@ -113,17 +115,18 @@ class Runner:
 
     def apply(self, migrations: list[Migration], through: str | None = None) -> list[str]:
         """Apply pending migrations in order; a failure leaves the earlier ones applied and itself undone."""
-        if HISTORY not in self.store.manifest()["tables"]:
-            self.store.create_table(HISTORY_TABLE)
-        out = []
-        for m in self.plan(migrations, through):
-            def record(tx: Transaction, m: Migration = m) -> None:
-                rows = self.store.spark.createDataFrame([(m.id, m.checksum, self.clock())], HISTORY_TABLE.struct())
-                tx.set_parts(HISTORY, [*tx.parts(HISTORY), tx.write_part(HISTORY_TABLE, rows)])
-
-            self._run(m.id, m.up, record)
-            out.append(m.id)
-        return out
+        with self.store.lock("migrations"):
+            if HISTORY not in self.store.manifest()["tables"]:
+                self.store.create_table(HISTORY_TABLE)
+            out = []
+            for m in self.plan(migrations, through):
+                def record(tx: Transaction, m: Migration = m) -> None:
+                    rows = self.store.spark.createDataFrame([(m.id, m.checksum, self.clock())], HISTORY_TABLE.struct())
+                    tx.set_parts(HISTORY, [*tx.parts(HISTORY), tx.write_part(HISTORY_TABLE, rows)])
+
+                self._run(m.id, m.up, record)
+                out.append(m.id)
+            return out
 
     def revert_plan(self, migrations: list[Migration], steps: int | None = None, through: str | None = None) -> list[Migration]:
         """What ``revert`` would do, the newest first."""
@@ -151,15 +154,16 @@ class Runner:
         return out
 
     def revert(self, migrations: list[Migration], steps: int | None = None, through: str | None = None) -> list[str]:
-        out = []
-        for m in self.revert_plan(migrations, steps, through):
-            def forget(tx: Transaction, m: Migration = m) -> None:
-                rows = tx.read(HISTORY_TABLE).where(F.col("id") != m.id)
-                tx.set_parts(HISTORY, [tx.write_part(HISTORY_TABLE, rows)])
-
-            self._run(m.id, m.down, forget)
-            out.append(m.id)
-        return out
+        with self.store.lock("migrations"):
+            out = []
+            for m in self.revert_plan(migrations, steps, through):
+                def forget(tx: Transaction, m: Migration = m) -> None:
+                    rows = tx.read(HISTORY_TABLE).where(F.col("id") != m.id)
+                    tx.set_parts(HISTORY, [tx.write_part(HISTORY_TABLE, rows)])
+
+                self._run(m.id, m.down, forget)
+                out.append(m.id)
+            return out
 
     def _run(self, id_: str, sources: tuple[tuple[str, str], ...], record: Callable[[Transaction], None]) -> None:
         tx = self.store.begin()

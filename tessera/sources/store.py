@@ -13,6 +13,8 @@ import copy
 import json
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,20 +56,28 @@ class Store:
     def begin(self) -> Transaction:
         return Transaction(self, self.manifest())
 
-    def swap(self, base: dict[str, Any], changed: dict[str, Any], touched: set[str]) -> None:
-        """Replace the manifest if no touched table changed meanwhile."""
-        lock, until = f"{self.root}/manifest.lock", time.monotonic() + self.lock_seconds
+    @contextmanager
+    def lock(self, name: str) -> Iterator[None]:
+        """Hold the lock file ``name``; whoever comes second waits up to ``lock_seconds``. A run that was killed leaves its file to be removed by hand."""
+        path, until = f"{self.root}/{name}.lock", time.monotonic() + self.lock_seconds
         while True:
             try:
-                self.files.write(lock, str(time.time()), new=True)
+                self.files.write(path, str(time.time()), new=True)
                 break
             except Py4JJavaError as e:
                 if "AlreadyExists" not in str(e.java_exception):
                     raise
                 if time.monotonic() > until:
-                    raise TransactionError(f"the store is locked: {lock}") from e
+                    raise TransactionError(f"the store is locked: {path}") from e
                 time.sleep(0.1)
         try:
+            yield
+        finally:
+            self.files.delete(path)
+
+    def swap(self, base: dict[str, Any], changed: dict[str, Any], touched: set[str]) -> None:
+        """Replace the manifest if no touched table changed meanwhile."""
+        with self.lock("manifest"):
             now = self.manifest()
             for key in touched:
                 if now["tables"].get(key) != base["tables"].get(key):
@@ -81,8 +91,6 @@ class Store:
             fresh = f"{self.root}/manifest-{uuid.uuid4().hex}.json"
             self.files.write(fresh, json.dumps(now))
             self.files.replace(fresh, self._manifest_path)
-        finally:
-            self.files.delete(lock)
 
     def vacuum(self) -> None:
         """Drop the parts that no table has any more. No reader or writer may be at work."""

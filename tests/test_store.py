@@ -263,3 +263,32 @@ def test_generated_code(db, tmp_path):
     assert db.query_rendered_one(queries.by_id(1))["name"] == "a"
     with pytest.raises(ValidationError):
         store_module([P, s.in_schema(P, "x")])
+
+
+def test_generation_settings(db, spark, tmp_path, capsys):
+    root, path = db.provider.root, tmp_path / "settings.json"
+    (tmp_path / "by_id.sql").write_text('SELECT name FROM p WHERE id = {{bind "id" p.id}}')
+    said = {"out": "store.py", "queries_out": "queries.py", "include": ["p"], "row_names": {"p": "Person"}, "queries": [{"function": "by_id", "file": "by_id.sql"}, {"function": "every", "sql": "SELECT id FROM p"}]}
+    run = lambda *more: cli.main(["--store", root, "generate", "--settings", str(path), *more], spark)
+    path.write_text(json.dumps(said))
+    assert run("--check") == 1 and run() == 0 and run("--check") == 0
+    assert "class Person:" in (tmp_path / "store.py").read_text() and "c = Table" not in (tmp_path / "store.py").read_text()
+    assert "def by_id(id: int)" in (tmp_path / "queries.py").read_text() and "def every()" in (tmp_path / "queries.py").read_text()
+    assert run("--out", str(tmp_path / "other.py")) == 0 and (tmp_path / "other.py").exists()
+    for wrong in ({"nope": 1}, {"root": "/"}, {"out": None}, {"queries_out": None}, {"include": ["zz"]}, {"exclude": ["c"]}, {"row_names": {"zz": "Z"}}, {"queries": [{"function": "f"}]}, {"queries": [{"function": "f", "sql": "SELECT 1"}] * 2}):
+        path.write_text(json.dumps(said | wrong))
+        assert run() == 1, wrong
+    capsys.readouterr()
+
+
+def test_migration_lock(db):
+    store, migration = db.provider, Migration("001", (("a.up.json", json.dumps([{"create_table": s.table("m", s.column("id", I), primary_key=["id"]).to_json()}])),))
+    runner = Runner(store)
+    store.lock_seconds = 0.3
+    with store.lock("migrations"), pytest.raises(TransactionError):
+        runner.apply([migration])
+    assert runner.apply([migration]) == ["001"]
+    broken = Migration("002", (("a.up.json", '[{"nope": 1}]'),))
+    with pytest.raises(MigrationError):
+        runner.apply([migration, broken])
+    assert not store.files.exists(f"{store.root}/migrations.lock")

@@ -36,14 +36,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .scratch import cut
+from .scratch import cut, drop_shuffles
 from .words import U, hashed, mix, pieces, releasing
 
 _LOW = 40
 _STEP = (U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
+#: Of tokens and prefixes. The second and third prefix only rule pairs out, so their low 32 bits do: a chance match leaves a pair to be verified.
+_KINDS = (np.int64, np.int64, np.int32, np.int32)
 BLOCK_ROWS, BLOCK_TOKENS = 1024, 4_000_000
 
-_DOC = "node long, doc_id long, key long, n int, s1 long, s2 long, toks array<long>, pre1 array<long>, pre2 array<long>, pre3 array<long>"
+_DOC = "node long, doc_id long, key long, n int, s1 long, s2 long, toks array<long>, pre1 array<long>, pre2 array<int>, pre3 array<int>"
 
 
 def shingle_sets(column, k: int = 5) -> list[np.ndarray]:
@@ -158,11 +160,11 @@ def _gather(percent: int):
         for i, n in enumerate(size.tolist()):
             own = token[bound[i] : bound[i + 1]]
             found = prefixes(own, many[bound[i] : bound[i + 1]], n, percent) if lead[i] and len(own) else []
-            for to, x in zip(lists, [own, *found] if found else [None] * 4, strict=True):
-                to.append(None if x is None else x.astype(np.int64))
+            for to, x, kind in zip(lists, [own, *found] if found else [None] * 4, _KINDS, strict=True):
+                to.append(None if x is None else x.astype(kind))
         sign = np.frombuffer(signs, np.int64).reshape(-1, 2)
         node = (chunk << 16) + np.arange(len(size), dtype=np.int64)
-        arrays = [pa.array(node), pa.array(ids, mask=nulls), pa.array(key), pa.array(size), pa.array(sign[:, 0]), pa.array(sign[:, 1]), *(pa.array(x, pa.list_(pa.int64())) for x in lists)]
+        arrays = [pa.array(node), pa.array(ids, mask=nulls), pa.array(key), pa.array(size), pa.array(sign[:, 0]), pa.array(sign[:, 1]), *(pa.array(x, pa.list_(pa.from_numpy_dtype(kind))) for x, kind in zip(lists, _KINDS, strict=True))]
         return pa.table(arrays, [c.split()[0] for c in _DOC.split(", ")])
 
     return run
@@ -282,17 +284,19 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     """doc_id, key, n, root and component_id of every row."""
     spark = docs.sparkSession
     table = cut(document_sets(docs, id_col, text_col, k, percent))
+    drop_shuffles(spark)
     classes = cut(table.where("n > 0").groupBy("s1", "s2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least")))
     sets = table.where("toks is not null").join(classes.select(F.col("rep").alias("node")), "node", "left_semi").select("node", "n", "toks", "pre1", "pre2", "pre3")
     held = cut(sets.select("node", F.explode("pre1").alias("token")))
     lists = cut(held.groupBy("token").agg(F.min("node").alias("c"), F.count("*").alias("many")).where("many > 1").select("token", "c"))
     held = held.join(lists.select("token"), "token", "left_semi")
     stars = held.join(lists, "token").where("node <> c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(_verified(stars, sets, percent))
-    roots = cut(connected(links))
+    roots = cut(connected(_verified(stars, sets, percent)))
+    drop_shuffles(spark)
     more = _open_links(spark, held, lists, sets, roots, percent)
     if more is not None:
-        roots = cut(connected(links.unionByName(more)))
+        # a node's edge to its root connects what the links before it did
+        roots = cut(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
     classes = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("s1", "s2", "least", F.coalesce("root", "rep").alias("root"))
     first = cut(classes.groupBy("root").agg(F.min("least").alias("component_id")))
     classes = cut(classes.join(first, "root").select("s1", "s2", "root", "component_id"))

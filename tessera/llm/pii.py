@@ -2,17 +2,18 @@
 
 Protected entities are email addresses, IP addresses, card numbers and phone numbers, found by
 pattern and check. Masking them is not enough if other terms give them away, so the corpus tells
-how strongly a term reveals an entity: with shares over all documents, the pointwise mutual
+how strongly a term reveals an entity: with shares over all distinct texts, the pointwise mutual
 information PMI(t; e) = ln(p(t, e) / (p(t) p(e))) is compared with what the entity itself carries,
 IC(e) = -ln p(e). A term discloses e if PMI reaches ``alpha`` * IC(e), which says that seeing the
-term narrows the documents down to nearly those of e. Terms are words of three letters or more,
-close to the entity; a pair counts only if it stands together in ``support`` different contexts,
-so copies of one passage do not make every rare word of it suspicious. Disclosing terms are
-generalised to their kind in the documents that hold the entity, as the entities themselves are.
+term narrows the texts down to nearly those of e. Terms are all words, numbers and handles of the
+texts that hold the entity, wherever they stand; a pair counts only if it is together in
+``support`` texts. Disclosing terms are generalised to their kind in the documents that hold the
+entity, as the entities themselves are.
 
-Counts cover all documents: documents with an entity, with a term near it, and with the term
-anywhere. Candidate terms are broadcast to the counting pass only if their counted number keeps
-within ``SMALL``; otherwise all words are counted and joined.
+All counts are of whole distinct texts, so exact copies of a text say nothing new: copies share one
+vote. Terms are counted over the whole table, joined to the terms of each text that holds an entity,
+and only then paired with its entities; a pair is left out before only where the term stands in more
+texts than PMI could allow for any entity.
 
 Defined cases: null and empty texts have no spans. Repeated rows count each. Matches of a kind do
 not overlap; matches of different kinds may. A term never overlaps an entity. Other columns are
@@ -26,18 +27,19 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import broadcast_if_small, cut
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR, SUPPORT, ALPHA = 5, 3, 0.8
-#: Candidate terms that may be broadcast.
-SMALL = 200_000
+SUPPORT, ALPHA = 3, 0.8
+#: Copied texts whose numbers of copies may be broadcast.
+SMALL = 2_000_000
+#: Distinct terms that a task counts before it hands them on.
+HELD = 200_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -45,7 +47,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\W\d_]{3,}")
+_WORD = re.compile(r"\w+")
 _PLAIN = re.compile(r"[^0-9]+")
 
 
@@ -106,83 +108,93 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _words(text: str, spans: list[tuple[int, int, int]], low: int, high: int) -> list[tuple[int, int, str]]:
-    """Terms of text[low:high] that overlap no span."""
-    out = []
-    for m in _WORD.finditer(text, low, high):
-        if not any(a < m.end() and m.start() < b for a, _, b in spans):
-            out.append((m.start(), m.end(), m[0].lower()))
-    return out
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, term) of the words of a text that overlap no span."""
+    starts = [s[0] for s in spans]
+    reach = max((b - a for a, _, b in spans), default=0)
+    for m in _WORD.finditer(text):
+        near = spans[bisect_left(starts, m.start() - reach) : bisect_left(starts, m.end())]
+        if not any(a < m.end() and m.start() < b for a, _, b in near):
+            yield m.start(), m.end(), m[0].lower()
 
 
-def _around(text: str, spans: list[tuple[int, int, int]], span: tuple[int, int, int]) -> tuple[list[str], list[str]]:
-    """The terms close before and after an entity, looked for within a bounded stretch."""
-    a, _, b = span
-    reach = 64 * NEAR
-    low, high = max(0, a - reach), min(len(text), b + reach)
-    near = [s for s in spans if s[2] > low and s[0] < high]
-    before = [w for x, _, w in _words(text, near, low, a) if low == 0 or x > low]
-    after = [w for _, y, w in _words(text, near, b, high) if high == len(text) or y < high]
-    return before[-NEAR:], after[:NEAR]
+def _counted(text: str) -> Counter[str]:
+    """How often each term stands in a text."""
+    if spans := base_spans(text):
+        return Counter(t for _, _, t in _terms(text, spans))
+    return Counter(map(str.lower, _WORD.findall(text)))
 
 
-_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text string, found array<struct<e: long, c: long, terms: array<string>>>"
+_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text string, key long, found array<long>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     row = TaskContext.get().partitionId() << 33
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("base", pa.string()), ("text", pa.string()), ("found", pa.list_(pa.struct([("e", pa.int64()), ("c", pa.int64()), ("terms", pa.list_(pa.string()))])))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("base", pa.string()), ("text", pa.string()), ("key", pa.int64()), ("found", pa.list_(pa.int64()))])
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
             some, rows = batch.slice(i, 1024), []
-            for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+            for doc_id, text, key in zip(*(some.column(c).to_pylist() for c in range(3)), strict=True):
                 text = text or ""
                 spans = base_spans(text)
                 n = Counter(k for _, k, _ in spans)
-                found = []
-                for s in spans:
-                    before, after = _around(text, spans, s)
-                    found.append({"e": _hash(entity(text, s)), "c": _hash(" ".join((*before, "|", *after))), "terms": sorted({*before, *after})})
+                found = sorted({_hash(entity(text, s)) for s in spans})
                 said = written(spans)
-                rows.append({"row": row, "doc_id": doc_id, **{f"n_{KINDS[k]}": n[k] for k in range(4)}, "base_sha256": hashlib.sha256(said.encode()).hexdigest(), "base": said, "text": text if spans else None, "found": found or None})
+                rows.append({"row": row, "doc_id": doc_id, **{f"n_{KINDS[k]}": n[k] for k in range(4)}, "base_sha256": hashlib.sha256(said.encode()).hexdigest(), "base": said, "text": text if spans else None, "key": key if text else None, "found": found or None})
                 row += 1
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def _documents_with(terms: frozenset[str] | None):
-    """(term, n) of each batch: documents that hold a term, of the given ones or of all."""
+def _corpus_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n) of many texts at a time: texts that hold a term. A copy counts as its share of the copies."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                own = set(_WORD.findall(text.lower())) if text else set()
-                n.update(own if terms is None else own & terms)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
-
-    return run
-
-
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, near_support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
-    """(e, term) pairs where the term discloses the entity; ``scanned`` as find_spans makes it."""
-    spark = docs.sparkSession
-    occurrences = scanned.where("found is not null").select("row", F.explode("found").alias("x")).select("row", "x.*")
-    pairs = occurrences.select("row", "e", "c", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("e", "term").agg(F.count_distinct("c").alias("contexts"), F.count_distinct("row").alias("n_both"))
-    pairs = cut(pairs.where(F.col("contexts") >= near_support))
-    terms = cut(pairs.select("term").distinct())
-    many = terms.count()
-    if not many:
-        return pairs.select("e", "term")
-    own = frozenset(r["term"] for r in terms.collect()) if many <= SMALL else None
-    with_term = docs.select(F.col("text").cast("string")).mapInArrow(_documents_with(own), "term string, n long").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
-    with_entity = occurrences.join(pairs.select("e").distinct(), "e", "left_semi").groupBy("e").agg(F.count_distinct("row").alias("n_entity"))
-    total = scanned.count()
-    told = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    carried = F.log(F.lit(float(total)) / F.col("n_entity"))
-    return cut(pairs.join(with_entity, "e").join(with_term, "term").where((carried > 0) & (told >= alpha * carried)).select("e", "term"))
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.float64())], ["term", "n"])
+
+    n: dict[str, float] = {}
+    for batch in batches:
+        for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            share = 1 / copies
+            for term in _counted(text):
+                n[term] = n.get(term, 0) + share
+            if len(n) >= HELD:
+                yield told()
+                n.clear()
+    yield told()
+
+
+def _text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, term) of each text."""
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = list(_counted(text))
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.int64()), pa.array(own, pa.string())], ["key", "term"])
+
+
+def disclosing_terms(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
+    """(e, term) pairs where the term discloses the entity; ``docs`` and ``scanned`` as find_spans makes them."""
+    texts = cut(scanned.where("key is not null").groupBy("key").agg(F.count("*").alias("copies")))
+    total = float(texts.count())
+    copied = texts.where("copies > 1")
+    own = scanned.where("found is not null").dropDuplicates(["key"])
+    held = cut(own.select("key", F.explode("found").alias("e")))
+    entities = held.groupBy("e").agg(F.count("*").alias("n_entity"))
+    most = entities.agg(F.max("n_entity")).first()[0]
+    if not most:
+        return held.select("e", F.lit("").alias("term")).limit(0)
+    shared = docs.where("text <> ''").join(broadcast_if_small(copied, copied.count(), SMALL), "key", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    counted = shared.mapInArrow(_corpus_terms, "term string, n double").select(F.xxhash64("term").alias("t"), "n")
+    counted = counted.groupBy("t").agg(F.round(F.sum("n")).cast("long").alias("n_term"))
+    # PMI >= alpha * IC needs n_term <= n_both * (total / n_entity) ** (1 - alpha), and n_both <= n_entity
+    rare = counted.where(F.col("n_term") <= 1 + most**alpha * total ** (1 - alpha))
+    pairs = own.select("key", "text").mapInArrow(_text_terms, "key long, term string").withColumn("t", F.xxhash64("term"))
+    pairs = pairs.join(rare, "t").join(held, "key").groupBy("e", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"))
+    pairs = pairs.where(F.col("n_both") >= support).join(entities, "e")
+    told = F.log(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.col("n_term")))
+    carried = F.log(F.lit(total) / F.col("n_entity"))
+    return cut(pairs.where((carried > 0) & (told >= alpha * carried)).select("e", "term"))
 
 
 def _add_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,15 +204,7 @@ def _add_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for said, text, own in zip(base, texts, terms, strict=True):
             if own and text:
                 spans, own = base_spans(text), set(own)
-                starts = [s[0] for s in spans]
-                reach = max((b - a for a, _, b in spans), default=0)
-                more = []
-                for m in _WORD.finditer(text):
-                    if m[0].lower() in own:
-                        near = spans[bisect_left(starts, m.start() - reach) : bisect_left(starts, m.end())]
-                        if not any(a < m.end() and m.start() < b for a, _, b in near):
-                            more.append((m.start(), 4, m.end()))
-                said = written(sorted(spans + more))
+                said = written(sorted(spans + [(a, 4, b) for a, b, t in _terms(text, spans) if t in own]))
             out.append(said)
         columns = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.string())], [*columns, "spans"])
@@ -209,11 +213,12 @@ def _add_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_spans(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
     """doc_id, counts and digest of the entities, and all spans, of every row of documents."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = slim.withColumn("key", F.xxhash64("text"))
     scanned = cut(slim.mapInArrow(_scan, _FOUND))
     risky = disclosing_terms(slim, scanned, support, alpha)
-    held = scanned.where("found is not null").select("row", F.explode("found.e").alias("e")).distinct()
+    held = scanned.where("found is not null").select("row", F.explode("found").alias("e")).distinct()
     terms = held.join(risky, "e").groupBy("row").agg(F.collect_set("term").alias("terms"))
-    out = scanned.drop("found").join(terms, "row", "left")
+    out = scanned.drop("found", "key").join(terms, "row", "left")
     return out.mapInArrow(_add_terms, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 

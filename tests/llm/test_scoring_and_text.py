@@ -166,6 +166,18 @@ def test_disclosing_terms(spark):
         pii.SMALL = by_all
 
 
+def test_disclosing_terms_of_whole_texts(spark):
+    rest = "here is much else to read before the next sentence comes with its own words at last".split()
+    rows = [(i, " ".join(rest[i % 5 :]) + f" u{i}") for i in range(300)]
+    rows += [(1000 + i, f"x{i} chief@corp.example " + " ".join(rest[i:]) + (" Nr 7781 and agent_7" if i % 2 else " agent_7 then 7781 nr")) for i in range(4)]
+    rows += [(2000 + i, "same text ab12 twin@corp.example") for i in range(4)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[300:304]:
+        terms = {text[int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in got[i].split(",")) if k == "term"}
+        assert terms >= {"nr", "7781", "agent_7"} and f"x{i - 1000}" not in terms and not terms & set(rest)
+    assert all("term" not in got[i] for i, _ in rows if i >= 2000)
+
+
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model"])
 def test_vocabulary(name):
     found = langid.vocabulary(public_tokenizers.path(name))

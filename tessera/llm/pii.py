@@ -6,12 +6,17 @@ how strongly a term reveals an entity: with shares over all distinct texts, the
 information PMI(t; e) = ln(p(t, e) / (p(t) p(e))) is compared with what the entity itself carries,
 IC(e) = -ln p(e). A term discloses e if PMI reaches ``alpha`` * IC(e), which says that seeing the
 term narrows the texts down to nearly those of e. Terms are all words, numbers and handles of the
-texts that hold the entity, wherever they stand; a pair counts only if it is together in
-``support`` texts. Disclosing terms are generalised to their kind in the documents that hold the
-entity, as the entities themselves are.
+texts that hold the entity, wherever they stand. Rare entities share their texts with many rare
+terms by chance, so PMI alone does not decide: were the running words of the table dealt at random,
+the chance that so many of the occurrences of t fall into the texts of e is at most
+exp(-n(t) KL(n(t, e) / n(t) || size(e) / size)) (Chernoff), and that times the number of distinct
+terms must not exceed ``level``, so that less than ``level`` terms an entity are expected by chance.
+A term that stands once beside an entity that stands once tells nothing; one that stands in its only
+text several times, and hardly elsewhere, does. Disclosing terms are generalised to their kind in
+the documents that hold the entity, as the entities themselves are.
 
 All counts are of whole distinct texts, so exact copies of a text say nothing new: copies share one
-vote. Terms are counted over the whole table, joined to the terms of each text that holds an entity,
+vote; occurrences are counted over the distinct lines of a text. Near copies are distinct texts. Terms are counted over the whole table, joined to the terms of each text that holds an entity,
 and only then paired with its entities; a pair is left out before only where the term stands in more
 texts than PMI could allow for any entity.
 
@@ -27,6 +32,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +41,7 @@ from pyspark.sql import functions as F
 from .scratch import broadcast_if_small, cut
 
 KINDS = ("email", "ip", "card", "phone", "term")
-SUPPORT, ALPHA = 3, 0.8
+ALPHA, LEVEL = 0.8, 0.05
 #: Copied texts whose numbers of copies may be broadcast.
 SMALL = 2_000_000
 #: Distinct terms that a task counts before it hands them on.
@@ -119,20 +125,21 @@ def _terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int,
 
 
 def _counted(text: str) -> Counter[str]:
-    """How often each term stands in a text."""
+    """How often each term stands in the distinct lines of a text; no entity crosses lines."""
+    text = "\n".join(dict.fromkeys(text.split("\n")))
     if spans := base_spans(text):
         return Counter(t for _, _, t in _terms(text, spans))
     return Counter(map(str.lower, _WORD.findall(text)))
 
 
-_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text string, key long, found array<long>"
+_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text string, key long, size long, found array<long>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     row = TaskContext.get().partitionId() << 33
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("base", pa.string()), ("text", pa.string()), ("key", pa.int64()), ("found", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("base", pa.string()), ("text", pa.string()), ("key", pa.int64()), ("size", pa.int64()), ("found", pa.list_(pa.int64()))])
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
             some, rows = batch.slice(i, 1024), []
@@ -142,59 +149,67 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = Counter(k for _, k, _ in spans)
                 found = sorted({_hash(entity(text, s)) for s in spans})
                 said = written(spans)
-                rows.append({"row": row, "doc_id": doc_id, **{f"n_{KINDS[k]}": n[k] for k in range(4)}, "base_sha256": hashlib.sha256(said.encode()).hexdigest(), "base": said, "text": text if spans else None, "key": key if text else None, "found": found or None})
+                rows.append({"row": row, "doc_id": doc_id, **{f"n_{KINDS[k]}": n[k] for k in range(4)}, "base_sha256": hashlib.sha256(said.encode()).hexdigest(), "base": said, "text": text if spans else None, "key": key if text else None, "size": _counted(text).total() if spans else None, "found": found or None})
                 row += 1
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def _corpus_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, n) of many texts at a time: texts that hold a term. A copy counts as its share of the copies."""
+    """(term, n, times) of many texts at a time: texts that hold a term, and its occurrences. A copy counts as its share of the copies."""
 
     def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.float64())], ["term", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.float64()), pa.array(list(times.values()), pa.float64())], ["term", "n", "times"])
 
     n: dict[str, float] = {}
+    times: dict[str, float] = {}
     for batch in batches:
         for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             share = 1 / copies
-            for term in _counted(text):
+            for term, k in _counted(text).items():
                 n[term] = n.get(term, 0) + share
+                times[term] = times.get(term, 0) + k * share
             if len(n) >= HELD:
                 yield told()
                 n.clear()
+                times.clear()
     yield told()
 
 
 def _text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, term) of each text."""
+    """(key, term, own) of each text."""
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = list(_counted(text))
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.int64()), pa.array(own, pa.string())], ["key", "term"])
+            own = _counted(text)
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.int64()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["key", "term", "own"])
 
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
+def disclosing_terms(docs: DataFrame, scanned: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """(e, term) pairs where the term discloses the entity; ``docs`` and ``scanned`` as find_spans makes them."""
     texts = cut(scanned.where("key is not null").groupBy("key").agg(F.count("*").alias("copies")))
     total = float(texts.count())
     copied = texts.where("copies > 1")
     own = scanned.where("found is not null").dropDuplicates(["key"])
-    held = cut(own.select("key", F.explode("found").alias("e")))
-    entities = held.groupBy("e").agg(F.count("*").alias("n_entity"))
+    held = cut(own.select("key", "size", F.explode("found").alias("e")))
+    entities = held.groupBy("e").agg(F.count("*").alias("n_entity"), F.sum("size").alias("size"))
     most = entities.agg(F.max("n_entity")).first()[0]
     if not most:
         return held.select("e", F.lit("").alias("term")).limit(0)
     shared = docs.where("text <> ''").join(broadcast_if_small(copied, copied.count(), SMALL), "key", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
-    counted = shared.mapInArrow(_corpus_terms, "term string, n double").select(F.xxhash64("term").alias("t"), "n")
-    counted = counted.groupBy("t").agg(F.round(F.sum("n")).cast("long").alias("n_term"))
+    counted = shared.mapInArrow(_corpus_terms, "term string, n double, times double").select(F.xxhash64("term").alias("t"), "n", "times")
+    counted = cut(counted.groupBy("t").agg(F.round(F.sum("n")).cast("long").alias("n_term"), F.round(F.sum("times")).cast("long").alias("times")))
+    kinds, words = counted.agg(F.count("*"), F.sum("times")).first()
+    if not kinds:
+        return held.select("e", F.lit("").alias("term")).limit(0)
     # PMI >= alpha * IC needs n_term <= n_both * (total / n_entity) ** (1 - alpha), and n_both <= n_entity
     rare = counted.where(F.col("n_term") <= 1 + most**alpha * total ** (1 - alpha))
-    pairs = own.select("key", "text").mapInArrow(_text_terms, "key long, term string").withColumn("t", F.xxhash64("term"))
-    pairs = pairs.join(rare, "t").join(held, "key").groupBy("e", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"))
-    pairs = pairs.where(F.col("n_both") >= support).join(entities, "e")
+    pairs = own.select("key", "text").mapInArrow(_text_terms, "key long, term string, own long").withColumn("t", F.xxhash64("term"))
+    pairs = pairs.join(rare, "t").join(held.drop("size"), "key").groupBy("e", "term").agg(F.count("*").alias("n_both"), F.sum("own").alias("own"), F.first("n_term").alias("n_term"), F.first("times").alias("times"))
+    pairs = pairs.join(entities, "e")
     told = F.log(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.col("n_term")))
     carried = F.log(F.lit(total) / F.col("n_entity"))
-    return cut(pairs.where((carried > 0) & (told >= alpha * carried)).select("e", "term"))
+    pairs = pairs.where((carried > 0) & (told >= alpha * carried)).withColumn("q", F.col("own") / F.col("times")).withColumn("s", F.col("size") / F.lit(float(words)))
+    apart = F.col("q") * F.log(F.col("q") / F.col("s")) + F.when(F.col("q") < 1, (1 - F.col("q")) * F.log((1 - F.col("q")) / (1 - F.col("s")))).otherwise(0.0)
+    return cut(pairs.where((F.col("q") > F.col("s")) & (F.col("times") * apart >= log(kinds / level))).select("e", "term"))
 
 
 def _add_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,15 +225,15 @@ def _add_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.string())], [*columns, "spans"])
 
 
-def find_spans(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
+def find_spans(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """doc_id, counts and digest of the entities, and all spans, of every row of documents."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slim = slim.withColumn("key", F.xxhash64("text"))
     scanned = cut(slim.mapInArrow(_scan, _FOUND))
-    risky = disclosing_terms(slim, scanned, support, alpha)
+    risky = disclosing_terms(slim, scanned, alpha, level)
     held = scanned.where("found is not null").select("row", F.explode("found").alias("e")).distinct()
     terms = held.join(risky, "e").groupBy("row").agg(F.collect_set("term").alias("terms"))
-    out = scanned.drop("found", "key").join(terms, "row", "left")
+    out = scanned.drop("found", "key", "size").join(terms, "row", "left")
     return out.mapInArrow(_add_terms, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
@@ -234,9 +249,9 @@ def redact(text: str, spans: str) -> str:
     return "".join(out) + text[over:]
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """``docs`` with their entities and disclosing terms generalised. Ids must be unique where texts have spans."""
-    found = find_spans(docs, support, alpha).where("spans <> ''").select(F.col("doc_id").alias("__pii_id"), F.col("spans").alias("__pii_spans"))
+    found = find_spans(docs, alpha, level).where("spans <> ''").select(F.col("doc_id").alias("__pii_id"), F.col("spans").alias("__pii_spans"))
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__pii_id"]), "left")
     schema, names = docs.schema, docs.columns
 

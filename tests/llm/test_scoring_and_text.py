@@ -178,6 +178,20 @@ def test_disclosing_terms_of_whole_texts(spark):
     assert all("term" not in got[i] for i, _ in rows if i >= 2000)
 
 
+def test_rare_entities_have_disclosing_terms(spark):
+    rest = "here is much else to read before the next sentence comes with its own words at last".split()
+    rows = [(i, " ".join(rest[i % 5 :]) + f" u{i}") for i in range(300)]
+    once = "order 55013 once more\nseen by z1 from me@x.org for 55013\nand 55013 done"
+    lines = "\n".join(["again zz9 by line@x.org"] * 4)
+    rows += [(1000, once), (1001, once), (1002, "pair77 here two@x.org"), (1003, "the next has pair77 and two@x.org at last"), (1004, lines)]
+    rows += [(1005 + i, "single q4 of copy@x.org") for i in range(5)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = {i: [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i].split(",")) if k == "term"] for i, text in rows[300:]}
+    assert terms[1000] == terms[1001] == ["55013"] * 3
+    assert terms[1002] == terms[1003] == ["pair77"]
+    assert not any(terms[i] for i in range(1004, 1010))
+
+
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model"])
 def test_vocabulary(name):
     found = langid.vocabulary(public_tokenizers.path(name))

@@ -2,7 +2,9 @@
 
 A page is parsed into a tree of elements. Elements that never hold the article are taken out by
 their kind, role or name: scripts, styles, menus, headers, footers, sidebars, notices, adverts,
-forms and comments. For every element left, the composite text density is its characters per tag,
+forms and comments. A name speaks only as a whole (``related-posts``, not ``has-sidebar``), and never
+against an element that holds the longest ``article`` or ``main`` of the page, or most of its text
+where there is none outside of named elements; names are not asked where they leave nothing. For every element left, the composite text density is its characters per tag,
 adjusted for links: C/T * log_b(C/LC * T/LT) with b = ln(C/(C-LC) * LC + LC_body/C_body * C + e),
 where C and T count characters and tags, LC and LT those of links. The element whose children's
 densities have the greatest sum leads to the article: from it the choice climbs towards the body
@@ -36,10 +38,14 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("applet aside audio button canvas datalist dialog embed footer head header iframe input label map math menu nav noembed noframes noscript object script search select style svg template textarea title video".split())
+DROPPED = frozenset("annotation annotation-xml applet aside audio canvas datalist dialog embed footer head header iframe input map menu nav noembed noframes script search select style svg template textarea title video".split())
+#: Left out unless they stand in an article or main element.
+OUTSIDE = frozenset(("button", "noscript"))
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words in class or id names that mark an element as something else than the article.
+#: Words of class or id names that mark an element as something else than the article, alone or with one another.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus dropdown footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices paywall popup popover promo promos promotion promoted related reply replies respond share sharing sidebar sidebars social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+#: Words that change nothing about the words beside them.
+PLAIN_NAMES = frozenset("area bar block bottom box button buttons container form inner item items left link links list post posts right section slot top unit wrap wrapper".split())
 KEPT_NAMES = frozenset(("article", "main", "body", "html"))
 
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
@@ -49,11 +55,13 @@ _SCOPE = frozenset(("table", "ul", "ol", "dl", "div", "article", "section", "bod
 class Node:
     """An element with its children and texts in page order, and what its subtree counts."""
 
-    __slots__ = ("tag", "parent", "parts", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "drop", "named", "inside", "article", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
-        self.tag, self.parent, self.drop, self.parts = tag, parent, drop, []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, named: bool = False):
+        self.tag, self.parent, self.named, self.parts = tag, parent, named, []
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.drop = drop or tag in OUTSIDE and not self.inside
+        self.article = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
@@ -70,8 +78,19 @@ def _dropped(tag: str, rest: str) -> bool:
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id") and tag not in KEPT_NAMES and not NAMES.isdisjoint(_SPLIT.split(value)):
-            return True
+    return False
+
+
+def _named(tag: str, rest: str) -> bool:
+    """Whether a class or the id of an element says that it is something else than the article."""
+    if not rest or tag in KEPT_NAMES:
+        return False
+    for name, *values in _NAMED.findall(rest):
+        if name.lower() in ("class", "id"):
+            for whole in "".join(values).lower().split():
+                words = {w for w in _SPLIT.split(whole) if w and not w.isdigit()}
+                if not NAMES.isdisjoint(words) and words <= NAMES | PLAIN_NAMES:
+                    return True
     return False
 
 
@@ -108,7 +127,7 @@ def parse(page: str) -> Node:
                     at = at.parent
                 if at.tag == other:
                     here = at.parent
-            node = Node(tag, here, _dropped(tag, rest))
+            node = Node(tag, here, _dropped(tag, rest), _named(tag, rest))
             here.parts.append(node)
             if tag in VOID or rest.rstrip(">").endswith("/") and tag not in BLOCK:
                 continue
@@ -140,7 +159,7 @@ def _walk(root: Node, forms: bool) -> list[Node]:
         stack += [p for p in node.parts if not isinstance(p, str)]
     for node in reversed(order):
         inside = node.tag == "a"
-        node.tags, node.link_tags = 0, 0
+        node.tags = node.link_tags = node.chars = node.link_chars = node.article = 0
         for p in node.parts:
             if isinstance(p, str):
                 node.chars += sum(map(len, html.unescape(p).split()))
@@ -149,11 +168,31 @@ def _walk(root: Node, forms: bool) -> list[Node]:
                 node.link_chars += p.link_chars
                 node.tags += p.tags + 1
                 node.link_tags += p.link_tags + (p.tag == "a")
+                node.article = max(node.article, p.article)
+        if node.tag in ("article", "main"):
+            node.article = max(node.article, node.chars)
         if inside:
             node.link_chars = node.chars
     return order
 
 
+def _drop_named(order: list[Node]) -> bool:
+    """Mark the elements that go for their names; whether there are any."""
+    within: set[int] = set()
+    apart: dict[int, int] = {}  # characters in named elements of a subtree
+    outside = 0
+    for node in reversed(order):
+        apart[id(node)] = sum(p.chars if p.named else apart[id(p)] for p in node.parts if not isinstance(p, str))
+    for node in order:
+        if node.named or node.parent is not None and id(node.parent) in within:
+            within.add(id(node))
+        elif node.tag in ("article", "main"):
+            outside = max(outside, node.chars - apart[id(node)])
+    for node in order:
+        node.drop = node.named and node.article <= outside and (outside > 0 or 2 * node.chars <= order[0].chars)
+    return any(node.drop for node in order)
+
+
 def _weigh(order: list[Node], body: Node) -> None:
     ratio = body.link_chars / body.chars if body.chars else 0.0
     for node in reversed(order):
@@ -196,8 +235,10 @@ def _path(node: Node) -> list[Node]:
     return out
 
 
-def _chosen(root: Node, forms: bool) -> tuple[Node, set[int]] | None:
+def _chosen(root: Node, forms: bool, names: bool = True) -> tuple[Node, set[int]] | None:
     order = _walk(root, forms)
+    if names and any(n.named for n in order) and _drop_named(order):
+        order = _walk(root, forms)
     body = next((n for n in order if n.tag == "body"), root)
     if not root.chars:
         return None
@@ -230,7 +271,7 @@ def main_text(page: str | None) -> str:
     """The article's text of an HTML page."""
     if not page:
         return ""
-    found = _chosen(parse(page), False) or _chosen(parse(page), True)
+    found = _chosen(parse(page), False) or _chosen(parse(page), False, False) or _chosen(parse(page), True) or _chosen(parse(page), True, False)
     if not found:
         return ""
     out: list[list[str]] = [[]]

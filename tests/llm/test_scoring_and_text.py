@@ -99,6 +99,17 @@ def test_main_text():
     assert html_extract.main_text("<body><article><h1>A</h1><p>b</p></article><div class='sidebar'><p>" + "noise " * 500 + "</p></div></body>") == "A\nb"
 
 
+def test_names_do_not_drop_the_article():
+    p = "".join(f"<p>{'words of the article ' * 9}{i}</p>" for i in range(3))
+    text = html_extract.main_text(f"<article>{p}</article>")
+    side = "<div class='sidebar'><p>side words</p></div><div id='related-posts'><p>other things</p></div>"
+    for page in (f"<div class='content-sidebar-wrap'><article>{p}</article>{side}</div>", f"<div class='page has-sidebar'><div>{p}</div>{side}</div>", f"<div id='post' class='no-sidebar comment-enabled'>{p}</div>{side}", f"<div class='widget'><div>{p}</div></div>{side}", f"<div class='widget'><article>{p}</article></div><article><p>teaser</p></article>", f"<main><div><div class='widget'><article>{p}</article></div></div>{side}</main>", f"<article>{p}</article><div class='comments'><article><p>I disagree.</p></article></div>"):
+        assert html_extract.main_text(f"<body>{page}</body>") == text, page
+    assert len(html_extract.main_text("<div class='ad'>a b</div><div class='promo'>c d</div>")) > 0
+    inside = "<p>one <math><mi>x</mi><annotation>tex</annotation></math> two <label>lab</label> <button>but</button> <object>obj</object> <noscript>still</noscript></p>"
+    assert html_extract.main_text(f"<body><noscript>Enable it</noscript><article>{inside}</article></body>") == "one x two lab but obj still"
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, None)], "page_id long, url string, html string, n_chars int")
     got = html_extract.extract(pages).collect()

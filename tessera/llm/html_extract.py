@@ -9,8 +9,11 @@ adjusted for links: C/T * log_b(C/LC * T/LT) with b = ln(C/(C-LC) * LC + LC_body
 where C and T count characters and tags, LC and LT those of links. The element whose children's
 densities have the greatest sum leads to the article: from it the choice climbs towards the body
 while the parent's density stays above the threshold, which is the least density on the path to
-the body, and to an enclosing ``article`` or ``main`` element. Of the elements passed by while
-climbing, those whose text is mostly links stay out.
+the body, and to an enclosing ``article`` or ``main`` element. Without one, it goes on to the highest
+element on that path, the body included, that has further blocks whose density reaches the
+threshold: articles laid out in several sections stay whole. There, blocks below the threshold stay out,
+but for headings before a block that stays and paragraphs, lists, tables and the like between two
+such blocks. Blocks whose text is mostly links stay out wherever the choice climbed past them.
 
 Text of each block element is decoded, its white space turned into single blanks, and trimmed;
 blocks stand in page order, one a line. ``br`` counts as white space.
@@ -48,6 +51,10 @@ NAMES = frozenset("ad ads adv advert adverts advertisement advertisements advert
 PLAIN_NAMES = frozenset("area bar block bottom box button buttons container form inner item items left link links list post posts right section slot top unit wrap wrapper".split())
 KEPT_NAMES = frozenset(("article", "main", "body", "html"))
 
+#: Blocks that hold other blocks.
+HOLDERS = frozenset("address article aside body center div section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 _SCOPE = frozenset(("table", "ul", "ol", "dl", "div", "article", "section", "body", "select", "blockquote"))
 
@@ -262,11 +269,42 @@ def _chosen(root: Node, forms: bool, names: bool = True) -> tuple[Node, set[int]
     skip = set()
     for child, node in zip(path[:top], path[1 : top + 1], strict=True):
         for p in node.parts:
-            if not isinstance(p, str) and p is not child and p.chars and p.link_chars > 0.5 * p.chars and p.tag in BLOCK:
+            if not isinstance(p, str) and p is not child and p.chars and _linked(p) and p.tag in BLOCK:
                 skip.add(id(p))
+    if not any(n.tag in ("article", "main") for n in path):
+        higher = top
+        for i in range(top + 1, len(path)):
+            if any(_dense(p, least) for p in path[i].parts if p is not path[i - 1]):
+                higher = i
+        for child, node in zip(path[top:higher], path[top + 1 : higher + 1], strict=True):
+            skip.update(_aside(node, child, least))
+        top = higher
     return path[top], skip
 
 
+def _linked(p: Node) -> bool:
+    return p.link_chars > 0.5 * p.chars
+
+
+def _dense(p: Node | str, least: float) -> bool:
+    return not isinstance(p, str) and p.tag in BLOCK and p.chars > 0 and p.density >= least and not _linked(p)
+
+
+def _aside(node: Node, child: Node, least: float) -> set[int]:
+    """The blocks of ``node`` that do not belong to the text that ``child`` is part of."""
+    blocks = [p for p in node.parts if not isinstance(p, str) and p.tag in BLOCK and p.chars]
+    stays = [p is child or _dense(p, least) for p in blocks]
+    first, last = stays.index(True), len(stays) - 1 - stays[::-1].index(True)
+    out, heads = set(), False
+    for i in range(len(blocks) - 1, -1, -1):
+        p = blocks[i]
+        between = first < i < last and p.tag not in HOLDERS and not _linked(p)
+        heads = stays[i] or between or heads and p.tag in HEADINGS
+        if not heads:
+            out.add(id(p))
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article's text of an HTML page."""
     if not page:

@@ -110,6 +110,22 @@ def test_names_do_not_drop_the_article():
     assert html_extract.main_text(f"<body><noscript>Enable it</noscript><article>{inside}</article></body>") == "one x two lab but obj still"
 
 
+def test_article_in_several_blocks():
+    def long(word, n):
+        return "".join(f"<p>{(word + str(i) + ' ') * 100}</p>" for i in range(n))
+
+    menu = "<div><a href=x>Home page</a> <a href=y>All the news</a></div>"
+    for n in (3, 4, 6):
+        for tag in ("div", "section"):
+            got = html_extract.main_text(f"<body>{menu}<h1>Title</h1><{tag}>{long('a', n)}</{tag}><p>short one</p><table><tr><td>cell</table><{tag}><h2>Next</h2>{long('b', n)}</{tag}><div>Corp 2024</div></body>")
+            lines = [line.split()[0] for line in got.split("\n")]
+            assert lines == ["Title", *(f"a{i}" for i in range(n)), "short", "cell", "Next", *(f"b{i}" for i in range(n))], lines
+        three = html_extract.main_text(f"<body>{menu}" + "".join(f"<div>{long(w, n)}</div>" for w in "abc") + "</body>")
+        assert all(f"{w}{i} " in three for w in "abc" for i in range(n))
+    wrapped = html_extract.main_text(f"<body>{menu}<div><div>{long('a', 3)}</div><div>{long('b', 3)}</div></div><div>Corp 2024</div></body>")
+    assert "a0" in wrapped and "b2" in wrapped and "Corp" not in wrapped and "Home" not in wrapped
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, None)], "page_id long, url string, html string, n_chars int")
     got = html_extract.extract(pages).collect()

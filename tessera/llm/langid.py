@@ -14,9 +14,9 @@ than 32 bytes is scored in stretches of 32 bytes.
 
 Defined cases: null text or a text without a letter gives ``und`` with score 0; so does everything
 if no labelled row can be learned from. Ties go to the smaller language name. Repeated rows are
-judged alike. Other columns are ignored. Words with a digit count for no language, neither in
-learning nor in scoring (codes, addresses and keys are spelled alike everywhere); a text whose
-letters all stand in such words is judged by the languages' shares alone.
+judged alike. Other columns are ignored. Words with a digit and no letter but a-z count for no
+language, neither in learning nor in scoring (codes, addresses and keys are spelled alike
+everywhere); a text whose letters all stand in such words is judged by the languages' shares alone.
 """
 
 from __future__ import annotations
@@ -177,10 +177,13 @@ class LanguageModel:
 _seen: dict[str, tuple[WordRows, list]] = {}
 
 
-def _digits(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Whether each span has a digit."""
-    some = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
-    return some[end] > some[start]
+def _codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each span has a digit and no letter outside of ASCII. Without blanks a sentence is one span."""
+    some, wide = (np.concatenate(([0], np.cumsum(x))) for x in ((data >= 48) & (data <= 57), data >= 128))
+    out = some[end] > some[start]
+    for i in np.flatnonzero(out & (wide[end] > wide[start])).tolist():
+        out[i] = not any(c.isalpha() and c > "\x7f" for c in data[start[i] : end[i]].tobytes().decode("utf-8", "replace"))
+    return out
 
 
 def _letters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -211,7 +214,7 @@ def score_texts(model: LanguageModel, column) -> tuple[np.ndarray, np.ndarray]:
     new = np.flatnonzero(rows < 0)
     if len(new):
         s, e = start[first[new]], end[first[new]]
-        scores = model.word_scores(data, s, e) * ~_digits(data, s, e)[:, None]
+        scores = model.word_scores(data, s, e) * ~_codes(data, s, e)[:, None]
         fresh = np.concatenate((scores, _letters(data, s, e)[:, None]), axis=1).astype(np.float32)
         rows[new] = known.add(keys[new])
         values[0] = np.concatenate((values[0], fresh))
@@ -240,7 +243,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = lower_ascii(data)
                 start, end = spans(data, at)
                 _, first, n = np.unique(hash_spans(data, start, end), return_index=True, return_counts=True)
-                use = ~_digits(data, start[first], end[first])
+                use = ~_codes(data, start[first], end[first])
                 words, n = [data[start[k] : end[k]].tobytes() for k in first[use].tolist()], n[use]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 

@@ -73,6 +73,16 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identify(docs.select("doc_id", "text", docs["lang"].substr(1, 0).alias("none"), *[]).selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
 
 
+def test_words_with_digits(spark):
+    zh, ja = "我们在2024年去了北京并看到了很多人", "私たちは2024年に東京へ行きましたそして"
+    docs = spark.createDataFrame([(i, (zh, ja)[i % 2] + "。" * (i // 2), "zj"[i % 2]) for i in range(24)] + [(100 + i, f"見て3{i}", "j") for i in range(20)], "doc_id long, text string, lang string")
+    got = langid.identify(docs).collect()
+    assert all(r["lang_pred"] == "zj"[r["doc_id"] % 2] for r in got if r["doc_id"] < 24)
+    data = np.frombuffer("ab12 12 né3 “x9” 京3 x".encode(), np.uint8)
+    at = np.flatnonzero(np.concatenate(([True], data == 32, [True])))
+    assert langid._codes(data, at[:-1], at[1:] - 1).tolist() == [True, True, False, True, False, False]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

@@ -8,8 +8,8 @@ segmentation. Piece probabilities are fitted by expectation maximisation with th
 backward pass. Bayes' rule with the languages' shares gives the prediction and its probability.
 
 Learning reads only the text and the non-null language of rows that the caller marks, and of these
-a sample of about ``sample_rows`` a language, drawn by a hash of the text: a documented bound on
-the labelled rows that fit the classifier. Scoring covers whole texts of all rows; a word longer
+a sample of about ``sample_rows`` distinct texts a language, at least one, drawn by a hash of the
+text: a documented bound on the labelled rows that fit the classifier. Scoring covers whole texts of all rows; a word longer
 than 32 bytes is scored in stretches of 32 bytes.
 
 Defined cases: null text or a text without a letter gives ``und`` with score 0; so does everything
@@ -275,21 +275,23 @@ def _expect(shared, langs: list[str]):
 def fit(labelled: DataFrame, vocabulary_path: str, sample_rows: int = 500, rounds: int = 3, smoothing: float = 0.05) -> LanguageModel:
     """A model from rows (text, lang); rows without text or language are left out.
 
-    About ``sample_rows`` of a language are read. What reaches the driver is bounded by vocabulary times languages.
+    About ``sample_rows`` distinct texts of a language are read, at least one. What reaches the driver is bounded by vocabulary times languages.
     """
     spark = labelled.sparkSession
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("key"))
+    found = rows.groupBy("lang", "key").agg(F.count("*").alias("n")).withColumn("draw", F.pmod("key", F.lit(1 << 30)))
+    found = found.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("draw").alias("least")).collect()
+    counts = {r["lang"]: r["n"] for r in found}
     langs = sorted(counts)
     known = Pieces.of(vocabulary(vocabulary_path))
     table = np.full((known.count + 1, len(langs)), 1 / known.count)
     table[-1] = 0
     if not langs:
         return LanguageModel([], np.zeros(0), known, table)
-    part = F.lit(0.0)
-    for lang in langs:
-        part = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_rows / counts[lang]))).otherwise(part)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < part * (1 << 30))
+    below = F.lit(0)
+    for r in found:
+        below = F.when(F.col("lang") == r["lang"], F.lit(max(r["least"] + 1, min(1 << 30, (sample_rows << 30) // r["texts"])))).otherwise(below)
+    sample = rows.where(F.pmod("key", F.lit(1 << 30)) < below).dropDuplicates(["lang", "key"])
     words = sample.select("lang", "text").mapInArrow(releasing(_word_counts), "lang string, word binary, n long")
     words = cut(words.groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(spark.sparkContext.defaultParallelism, "word"))
     for _ in range(rounds):

@@ -83,6 +83,15 @@ def test_words_with_digits(spark):
     assert langid._codes(data, at[:-1], at[1:] - 1).tolist() == [True, True, False, True, False, False]
 
 
+def test_sample_of_distinct_texts(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    xx, yy = LANGS["xx"], LANGS["yy"]
+    one = [(f"{xx} {w}", "xx") for w in "abc"] + [(f"{yy} {w}", "yy") for w in "abc"]
+    models = [langid.fit(spark.createDataFrame(rows, "text string, lang string"), path, sample_rows=n) for rows, n in ((one, 500), (one * 400, 3), (one * 400, 1))]
+    assert np.allclose(models[0].table, models[1].table)
+    assert all(np.ptp(models[2].table[:-1], axis=0) > 0.001) and all(np.allclose(m.shares, math.log(0.5)) for m in models)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

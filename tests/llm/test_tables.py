@@ -64,7 +64,7 @@ def brute_overlaps(docs, items):
             for diagonal in range(-len(y) + 1, len(x)):
                 same = [j for j in range(len(y)) if 0 <= j + diagonal < len(x) and x[j + diagonal] == y[j]]
                 best = max((sum(1 for j in same if s <= j < s + 12) for s in same), default=0)
-                if best >= 10:
+                if len(y) >= 6 and best >= min(10, len(y)):
                     out[d, i] = max(out.get((d, i), 0), best)
     return out
 
@@ -72,12 +72,12 @@ def brute_overlaps(docs, items):
 def test_decontamination(spark):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(40)]
-    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice((5, 10, 14, 30, 30))))) for i in range(12)] + [(98, None), (99, "")]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice((5, 6, 9, 10, 14, 30, 30))))) for i in range(16)] + [(98, None), (99, "")]
     docs = []
     for d in range(90):
         words = [rng.choice(vocab) for _ in range(rng.choice((0, 11, 60, 2500 if d % 13 == 0 else 200)))]
         if d % 2:
-            passage = rng.choice(items[:12])[1].split()
+            passage = rng.choice(items[:16])[1].split()
             for _ in range(rng.randrange(4)):
                 passage[rng.randrange(len(passage))] = "changed"
             at = rng.choice((0, len(words), 1020 if len(words) > 1100 else 3))

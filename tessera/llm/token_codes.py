@@ -38,6 +38,8 @@ from .words import WordRows, hash_spans, pieces, raw, spans
 
 END = 2
 _MAGIC, _DIRECTORY, SEGMENT_TOKENS = b"DAC1", 512, 1 << 20
+#: Bytes of text that are encoded at once.
+PIECE = 4 << 20
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -177,6 +179,16 @@ class WordEncoder:
 
 
 _encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """This worker's encoder for a tokenizer file. A function of the module: what a task's own function refers to
+    directly is shipped with each task anew, and would be empty in every task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 _SEGMENT = "part int, seq long, first long, n_tokens long, ids array<long>, bounds array<long>, code binary"
 
 
@@ -184,8 +196,7 @@ def _write(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
+        encoder = encoder_of(path)
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
         size = 0
@@ -200,8 +211,8 @@ def _write(path: str):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([first], pa.int64()), pa.array([len(tokens)], pa.int64()), lists, pa.array([bounds], pa.list_(pa.int64())), pa.array([encode(tokens)], pa.binary())], names)
 
         for batch in batches:
-            for i, text in pieces(batch.column(1), 2 << 20):
-                tokens, bound = _encoders[path].texts(text)
+            for i, text in pieces(batch.column(1), PIECE):
+                tokens, bound = encoder.texts(text)
                 held.append((tokens, batch.column(0).slice(i, len(text)).cast(pa.int64()), bound))
                 size += len(tokens)
                 if size >= SEGMENT_TOKENS:
@@ -217,11 +228,21 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None) -> str
     """Encode the texts of (doc_id, text) rows in ascending id order into the file format at ``out``."""
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = slim.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    # rows with equal ids and texts are alike, so the tie only spreads them over tasks
+    ordered = slim.repartitionByRange("doc_id", F.xxhash64("text"), F.monotonically_increasing_id()).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     ordered.mapInArrow(_write(path), _SEGMENT).write.option("compression", "none").parquet(out)
     return out
 
 
+def _starts(spark, path: str) -> list[tuple[int, int, int]]:
+    """(part, start, n) of each partition of the writing job: one row a partition on the driver."""
+    out, total = [], 0
+    for part, n in sorted(spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
+        out.append((part, total, n))
+        total += n
+    return out
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -238,23 +259,18 @@ def read_index(spark, path: str) -> DataFrame:
 
     One row a partition of the writing job reaches the driver, to turn places in a partition into global ones.
     """
-    rows = spark.read.parquet(path)
-    sizes = sorted(rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    starts, total = {}, 0
-    for part, n in sizes:
-        starts[part], total = total, total + n
-    offset = F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("part")) if starts else F.lit(0)
-    return rows.select((offset.cast("long") + F.col("first")).alias("start"), "ids", "bounds", "code").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = spark.createDataFrame(_starts(spark, path), "part int, start long, n long").select("part", "start")
+    rows = spark.read.parquet(path).join(F.broadcast(starts), "part")
+    return rows.select((F.col("start") + F.col("first")).alias("start"), "ids", "bounds", "code").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_token(spark, path: str, place: int) -> int:
     """The id at a global place of a written file; only its segment's code is read, and only its own chunks are decoded."""
-    sizes = sorted(spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    for part, n in sizes:
-        if place < n:
+    for part, start, n in _starts(spark, path):
+        if start <= place < start + n:
+            place -= start
             row = spark.read.parquet(path).where((F.col("part") == part) & (F.col("first") <= place) & (F.col("first") + F.col("n_tokens") > place)).select("first", "code").first()
             return Codes(row["code"])[place - row["first"]]
-        place -= n
     raise IndexError(place)
 
 

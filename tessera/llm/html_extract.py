@@ -1,19 +1,24 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a tree of elements. Elements that never hold the article are taken out by
-their kind, role or name: scripts, styles, menus, headers, footers, sidebars, notices, adverts,
-forms and comments. A name speaks only as a whole (``related-posts``, not ``has-sidebar``), and never
-against an element that holds the longest ``article`` or ``main`` of the page, or most of its text
-where there is none outside of named elements; names are not asked where they leave nothing. For every element left, the composite text density is its characters per tag,
-adjusted for links: C/T * log_b(C/LC * T/LT) with b = ln(C/(C-LC) * LC + LC_body/C_body * C + e),
-where C and T count characters and tags, LC and LT those of links. The element whose children's
-densities have the greatest sum leads to the article: from it the choice climbs towards the body
-while the parent's density stays above the threshold, which is the least density on the path to
-the body, and to an enclosing ``article`` or ``main`` element. Without one, it goes on to the highest
-element on that path, the body included, that has further blocks whose density reaches the
-threshold: articles laid out in several sections stay whole. There, blocks below the threshold stay out,
-but for headings before a block that stays and paragraphs, lists, tables and the like between two
-such blocks. Blocks whose text is mostly links stay out wherever the choice climbed past them.
+A page is parsed into a tree of elements in linear time. Elements that never hold the article are
+taken out by their kind or role: scripts, styles, menus, headers, footers, side notes, forms. For
+every element left, the composite text density is its characters per tag, adjusted for links:
+C/T * ln(1 + C/LC * T/LT) / ln(1 + b) with b = ln(C/(C-LC) * LC + LC_body/C_body * C + e), where C
+and T count characters and tags, LC and LT those of links, each 1 at least (the ones in both
+logarithms keep pages without links defined). The element whose children's densities have the
+greatest sum leads to the article: from it the choice climbs towards the body while the parent's
+density stays above the threshold, which is the least density on the path to the body, and to an
+enclosing ``article`` or ``main`` element. Without one, it goes on to the highest element on that
+path, the body included, that has further blocks whose density reaches the threshold: articles laid
+out in several sections stay whole. There, blocks below the threshold stay out, but for headings
+before a block that stays and paragraphs, lists, tables and the like between two such blocks. Blocks
+whose text is mostly links stay out wherever the choice climbed past them.
+
+Names weigh beside density and drop nothing: the text of an element whose class or id says sidebar,
+notice, advert, comments and the like counts as links do. Its density falls, it attracts no choice,
+and it stays out where it stands below the threshold beside the chosen text. A name speaks only as a whole
+(``related-posts``, not ``has-sidebar``), and does not weigh on an element that holds the longest
+``article`` or ``main`` of the page, or most of its text where there is none outside of named elements.
 
 Text of each block element is decoded, its white space turned into single blanks, and trimmed;
 blocks stand in page order, one a line. ``br`` counts as white space.
@@ -57,17 +62,25 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 _SCOPE = frozenset(("table", "ul", "ol", "dl", "div", "article", "section", "body", "select", "blockquote"))
+_P_SCOPE = _SCOPE | {"p"}
+_SHUT = _P_SCOPE | {t for tags in _CLOSES.values() for t in tags}
+#: Closings of inline elements do not reach beyond these.
+_BARRIERS = frozenset(("article", "main", "td", "body"))
 
 
 class Node:
     """An element with its children and texts in page order, and what its subtree counts."""
 
-    __slots__ = ("tag", "parent", "parts", "drop", "named", "inside", "article", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "drop", "named", "inside", "shut", "inner", "article", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False, named: bool = False):
         self.tag, self.parent, self.named, self.parts = tag, parent, named, []
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.drop = drop or tag in OUTSIDE and not self.inside
+        #: The nearest element, itself included, that another opening may close or that bounds it.
+        self.shut = self if parent is None or tag in _SHUT else parent.shut
+        #: How many elements of each tag are open in here, as far as inline closings reach.
+        self.inner: dict[str, int] = {} if parent is None or tag in _BARRIERS else parent.inner
         self.article = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -101,18 +114,54 @@ def _named(tag: str, rest: str) -> bool:
     return False
 
 
+class _Open:
+    """The open elements: the innermost one, and how many of each tag there are."""
+
+    def __init__(self):
+        self.root = self.here = Node("html", None)
+        self.all: dict[str, int] = {}
+
+    def enter(self, node: Node) -> None:
+        self.all[node.tag] = self.all.get(node.tag, 0) + 1
+        self.here.inner[node.tag] = self.here.inner.get(node.tag, 0) + 1
+        self.here = node
+
+    def leave(self, node: Node) -> None:
+        """Close all up to and with ``node``; each element is passed once."""
+        while True:
+            last, self.here = self.here, self.here.parent
+            self.all[last.tag] -= 1
+            self.here.inner[last.tag] -= 1
+            if last is node:
+                return
+
+    def nearest(self, tags: tuple[str, ...] | frozenset[str]) -> Node:
+        """The nearest open element of some tags, or the root. Of the tags that openings close, few are open at once between two bounds."""
+        at = self.here.shut
+        while at.parent is not None and at.tag not in tags:
+            at = at.parent.shut
+        return at
+
+    def close(self, tag: str) -> None:
+        """A closing tag; nothing happens if no such element is open within its reach."""
+        if (self.all if tag in BLOCK else self.here.inner).get(tag):
+            at = self.here
+            while at.tag != tag:
+                at = at.parent
+            self.leave(at)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; its root is the ``html`` element."""
-    root = Node("html", None)
-    at, here = 0, root
+    now = _Open()
     position, end = 0, len(page)
     while position < end:
         m = _MARKUP.search(page, position)
         if m is None:
-            here.parts.append(page[position:])
+            now.here.parts.append(page[position:])
             break
         if m.start() > position:
-            here.parts.append(page[position : m.start()])
+            now.here.parts.append(page[position : m.start()])
         position = m.end()
         closing, opening = m[1], m[2]
         if opening:
@@ -120,40 +169,30 @@ def parse(page: str) -> Node:
             if tag == "html":
                 continue
             if tag == "body":
-                while here is not root:
-                    here = here.parent
+                while now.here is not now.root:
+                    now.leave(now.here)
             elif tag in BLOCK:
-                at = here
-                while at.tag not in ("p", *_SCOPE) and at.parent is not None:
-                    at = at.parent
+                at = now.nearest(_P_SCOPE)
                 if at.tag == "p":
-                    here = at.parent
+                    now.leave(at)
             for other in _CLOSES.get(tag, ()):
-                at = here
-                while at.parent is not None and at.tag != other and not (at.tag in _SCOPE and at.tag != other):
-                    at = at.parent
+                at = now.nearest(_SCOPE | {other})
                 if at.tag == other:
-                    here = at.parent
-            node = Node(tag, here, _dropped(tag, rest), _named(tag, rest))
-            here.parts.append(node)
+                    now.leave(at)
+            node = Node(tag, now.here, _dropped(tag, rest), _named(tag, rest))
+            now.here.parts.append(node)
             if tag in VOID or rest.rstrip(">").endswith("/") and tag not in BLOCK:
                 continue
             if tag in RAW:
                 over = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, position)
                 position = over.end() if over else end
                 continue
-            here = node
+            now.enter(node)
         elif closing:
-            tag, at = closing.lower(), here
-            while at.parent is not None and at.tag != tag:
-                if at.tag in ("article", "main", "td", "body") and tag not in BLOCK:
-                    break
-                at = at.parent
-            if at.parent is not None and at.tag == tag:
-                here = at.parent
+            now.close(closing.lower())
         elif m[0].startswith("<![CDATA["):
-            here.parts.append(html.escape(m[0][9:].removesuffix("]]>")))
-    return root
+            now.here.parts.append(html.escape(m[0][9:].removesuffix("]]>")))
+    return now.root
 
 
 def _walk(root: Node, forms: bool) -> list[Node]:
@@ -162,7 +201,7 @@ def _walk(root: Node, forms: bool) -> list[Node]:
     while stack:
         node = stack.pop()
         order.append(node)
-        node.parts = [p if isinstance(p, str) else p for p in node.parts if isinstance(p, str) or not p.drop and (forms or p.tag not in ("form", "fieldset"))]
+        node.parts = [p for p in node.parts if isinstance(p, str) or not p.drop and (forms or p.tag not in ("form", "fieldset"))]
         stack += [p for p in node.parts if not isinstance(p, str)]
     for node in reversed(order):
         inside = node.tag == "a"
@@ -183,8 +222,8 @@ def _walk(root: Node, forms: bool) -> list[Node]:
     return order
 
 
-def _drop_named(order: list[Node]) -> bool:
-    """Mark the elements that go for their names; whether there are any."""
+def _unname(order: list[Node]) -> None:
+    """Take the name's weight from elements that hold the article, or most of the text where no article stands apart."""
     within: set[int] = set()
     apart: dict[int, int] = {}  # characters in named elements of a subtree
     outside = 0
@@ -196,8 +235,22 @@ def _drop_named(order: list[Node]) -> bool:
         elif node.tag in ("article", "main"):
             outside = max(outside, node.chars - apart[id(node)])
     for node in order:
-        node.drop = node.named and node.article <= outside and (outside > 0 or 2 * node.chars <= order[0].chars)
-    return any(node.drop for node in order)
+        node.named = node.named and node.article <= outside and (outside > 0 or 2 * node.chars <= order[0].chars)
+
+
+def _discount(order: list[Node]) -> None:
+    """Count the text of named elements as that of links."""
+    under: set[int] = set()
+    for node in order:
+        if node.named or node.parent is not None and id(node.parent) in under:
+            under.add(id(node))
+    for node in reversed(order):
+        if id(node) in under:
+            node.link_chars, node.link_tags = node.chars, node.tags + 1
+        elif node.tag != "a":
+            kids = [p for p in node.parts if not isinstance(p, str)]
+            node.link_chars = sum(p.link_chars for p in kids)
+            node.link_tags = sum(p.link_tags + (p.tag == "a") for p in kids)
 
 
 def _weigh(order: list[Node], body: Node) -> None:
@@ -207,7 +260,7 @@ def _weigh(order: list[Node], body: Node) -> None:
         if c:
             lc, lt = max(node.link_chars, 1), max(node.link_tags, 1)
             base = log(c / max(c - node.link_chars, 1) * node.link_chars + ratio * c + e)
-            node.density = c / t * log(max(c / lc * t / lt, 1.0) + 1) / max(log(base + 1), 0.1)
+            node.density = 0.0 if node.link_chars >= c else c / t * log(1 + max(c / lc * t / lt, 1.0)) / log(1 + base)
         node.total = sum(p.density for p in node.parts if not isinstance(p, str))
 
 
@@ -242,13 +295,14 @@ def _path(node: Node) -> list[Node]:
     return out
 
 
-def _chosen(root: Node, forms: bool, names: bool = True) -> tuple[Node, set[int]] | None:
+def _chosen(root: Node, forms: bool) -> tuple[Node, set[int]] | None:
     order = _walk(root, forms)
-    if names and any(n.named for n in order) and _drop_named(order):
-        order = _walk(root, forms)
-    body = next((n for n in order if n.tag == "body"), root)
     if not root.chars:
         return None
+    if any(n.named for n in order):
+        _unname(order)
+        _discount(order)
+    body = next((n for n in order if n.tag == "body"), root)
     if body.chars < root.chars:
         body = root
     _weigh(order, body)
@@ -279,6 +333,8 @@ def _chosen(root: Node, forms: bool, names: bool = True) -> tuple[Node, set[int]
         for child, node in zip(path[top:higher], path[top + 1 : higher + 1], strict=True):
             skip.update(_aside(node, child, least))
         top = higher
+    inside = {id(n) for n in path}
+    skip.update(id(n) for n in order if n.named and n.density < least and id(n) not in inside)
     return path[top], skip
 
 
@@ -309,7 +365,7 @@ def main_text(page: str | None) -> str:
     """The article's text of an HTML page."""
     if not page:
         return ""
-    found = _chosen(parse(page), False) or _chosen(parse(page), False, False) or _chosen(parse(page), True) or _chosen(parse(page), True, False)
+    found = _chosen(parse(page), False) or _chosen(parse(page), True)
     if not found:
         return ""
     out: list[list[str]] = [[]]

@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import math
 import re
+import time
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tessera.llm import html_extract, langid, pii
@@ -145,10 +147,34 @@ def test_article_in_several_blocks():
     assert "a0" in wrapped and "b2" in wrapped and "Corp" not in wrapped and "Home" not in wrapped
 
 
+def test_names_weigh_and_density_decides():
+    words = "some words of the main text that go on for a while " * 4
+    assert html_extract.main_text(f"<div id='related-work'><h2>Related work</h2><p>{words}</p></div>") == f"Related work\n{words.strip()}"
+    body = "".join(f"<p>{words}{i}</p>" for i in range(4))
+    want = "\n".join(f"{words}{i}" for i in range(4))
+    menu = "<div>" + "".join(f"<a href=/{i}>Menu entry {i}</a> " for i in range(9)) + "</div>"
+    # neither article nor telling names
+    assert html_extract.main_text(f"<body>{menu}<div class=x>{body}</div><div>Corp 2024</div></body>") == want
+    # a name tells of the comments, density of the rest
+    assert html_extract.main_text(f"<body>{menu}<div class=x>{body}<div class='comments'><p>{words}</p><p>{words}</p></div></div></body>") == want
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    plain = [re.sub(r"(</?)article>", r"\1div>", p).replace(' class="ad"', "") for p in pages]
+    same = sum(html_extract.main_text(p) == html_extract.main_text(q) for p, q in zip(pages, plain, strict=True))
+    assert same > 0.95 * len(pages)
+
+
+@pytest.mark.parametrize("page", ["<b>" * 30_000 + "<h1>x</h1>" * 30_000, "<i><article>" + "<b>" * 30_000 + "x</i>" * 30_000, "<b>" * 30_000 + "x</u>" * 30_000, "<td>" * 30_000 + "<p>x" * 30_000, "<div class=ad><p>x" * 30_000])
+def test_deep_pages_take_linear_time(page):
+    start = time.process_time()
+    assert "x" in html_extract.main_text(page)
+    assert time.process_time() - start < 8
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, None)], "page_id long, url string, html string, n_chars int")
     got = html_extract.extract(pages).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"], len(r["text"])) for r in got) == [(0, 0, 0)] + [(1, len(html_extract.main_text(PAGE)), len(html_extract.main_text(PAGE)))] * 2
+    assert html_extract.extract(pages.limit(0)).collect() == []
     raw = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     import html
 

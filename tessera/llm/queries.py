@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontamination, embedding_dedup, html_extract, jaccard_join, langid, mixing, pii, sharding, token_codes, url_reputation
 
@@ -27,7 +28,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = url_reputation.label_outcomes(_table(spark, sf_dir, "labels"))
-    return url_reputation.judge(_table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+    judged = url_reputation.judge(_table(spark, sf_dir, "pages"), outcomes)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("mean", 6).alias("mean"), F.round("bound", 6).alias("bound"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,14 +132,14 @@ WITH p AS (
 ), h1 AS (SELECT host, n, k, m FROM h JOIN d3 USING (domain)
 ), h2 AS (SELECT CASE WHEN sum(n) > count(*) THEN (1 - r) / r ELSE 10 END AS w FROM (SELECT *, greatest(0.001, least(0.9, (sum((k - n * m) ** 2 / (n * m * (1 - m))) OVER () - count(*) OVER ()) / nullif(sum(n) OVER () - count(*) OVER (), 0))) AS r FROM h1 WHERE n > 0) GROUP BY r
 ), h3 AS (SELECT host, k + w * m AS a, n - k + w * (1 - m) AS b FROM h1, (SELECT coalesce(max(w), 10) AS w FROM h2)
-), v AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) AS bound FROM h3
+), v AS (SELECT host, a / (a + b) AS mean, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) AS bound FROM h3
 ), f AS (
-  SELECT page_id, host, path, bound, CASE
+  SELECT page_id, host, path, mean, bound, CASE
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
   FROM p JOIN v USING (host)
 )
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM f
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(mean, 6) AS mean, round(bound, 6) AS bound FROM f
 """

@@ -13,8 +13,11 @@ the words of all sources, no target exceeds ``most`` times its source's words, a
 source cannot take is shared again by weight.
 
 Defined cases: null text has no words. Sources without words have target 0. The hash is that of
-the id (null ids hash like empty ids), so rows with one id go the same way, and reruns agree.
-Other columns are ignored by ``mix_plan`` and kept by ``apply_mix``.
+source, id and text, so reruns agree; null ids and texts hash like empty ones. Rows alike in all
+three are numbered and the number is hashed with them, so that of many copies as many are taken as
+the budget asks for; which of them is left open. Other columns are ignored by ``mix_plan`` and kept
+by ``apply_mix``, which refuses columns named like its own. Sources are told apart in one task, one
+row a source; everything else is spread by rows.
 """
 
 from __future__ import annotations
@@ -33,8 +36,36 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def hash_of(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def hash_of(doc_id: Column, source: Column, text: Column) -> Column:
+    told = F.concat(F.coalesce(F.octet_length(source).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(source, F.lit("")))
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), told, F.coalesce(text.cast("string"), F.lit(""))).cast("binary"))
+
+
+def number_copies(rows: DataFrame, repeated: DataFrame | None, h: str) -> DataFrame:
+    """``rows`` whose hash ``h`` differs between copies too; ``repeated`` are the hashes that several rows have.
+
+    Copies are numbered within the partitions they are read in, after those of the partitions before.
+    """
+    if repeated is None:
+        return rows
+    names = rows.columns
+    known = broadcast_if_small(repeated, repeated.count(), SMALL)
+    placed = rows.withColumn("__mix_part", F.spark_partition_id())
+    many = cut(placed.join(known, h, "left_semi"))
+    own = Window.partitionBy(h, "__mix_part")
+    before = Window.partitionBy(h).orderBy("__mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = many.groupBy(h, "__mix_part").agg(F.count("*").alias("__mix_k")).withColumn("__mix_k", F.coalesce(F.sum("__mix_k").over(before), F.lit(0)))
+    starts = cut(starts)
+    many = many.withColumn("__mix_i", F.row_number().over(own.orderBy("__mix_part"))).join(broadcast_if_small(starts, starts.count(), SMALL), [h, "__mix_part"])
+    k = F.col("__mix_i") - 1 + F.col("__mix_k")
+    many = many.withColumn(h, F.when(k == 0, F.col(h)).otherwise(F.md5(F.concat(F.col(h), k.cast("string")).cast("binary"))))
+    return rows.join(known, h, "left_anti").select(*names).unionByName(many.select(*names))
+
+
+def repeated_hashes(sizes: DataFrame) -> DataFrame | None:
+    """The hashes h of several rows, or None; rows are counted by a shorter hash, as most stand alone."""
+    some = cut(sizes.groupBy(F.xxhash64("h").alias("x")).agg(F.count("*").alias("n"), F.min("h").alias("h")).where("n > 1").select("h"))
+    return None if some.isEmpty() else some
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -86,13 +117,20 @@ def copies_of(h: Column) -> Column:
     return F.col("times") + F.coalesce((head < F.col("cutoff")) | ((head == F.col("cutoff")) & F.col("whole")), F.lit(False)).cast("int")
 
 
-def _sizes(docs: DataFrame) -> DataFrame:
-    return cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h")))
+def _hash(docs: DataFrame) -> Column:
+    return hash_of(docs["doc_id"], docs["source"].cast("string"), docs["text"])
+
+
+def _sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, source, size, h) of every row, no two with one h, and the hashes that several rows had."""
+    sizes = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"), _hash(docs).alias("h")))
+    repeated = repeated_hashes(sizes)
+    return sizes if repeated is None else cut(number_copies(sizes, repeated, "h")), repeated
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of documents."""
-    sizes = _sizes(docs)
+    sizes, _ = _sizes(docs)
     found = mix_thresholds(sizes, weights, most)
     found = broadcast_if_small(found.withColumnRenamed("source", "s"), found.count(), SMALL)
     out = sizes.join(found, F.col("source").eqNullSafe(F.col("s")))
@@ -101,9 +139,13 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    found = mix_thresholds(_sizes(docs).select("source", "h", "size"), weights, most)
+    if taken := {c for c in docs.columns if c.startswith("__mix_")}:
+        raise ValueError(f"the rows already have columns named {sorted(taken)}")
+    sizes, repeated = _sizes(docs)
+    found = mix_thresholds(sizes.select("source", "h", "size"), weights, most)
     found = broadcast_if_small(found.select(F.col("source").alias("__mix_s"), "times", "cutoff", "whole"), found.count(), SMALL)
-    packed = docs.select(F.struct("*").alias("__mix_row"), F.col("source").cast("string").alias("__mix_source"), hash_of(F.col("doc_id")).alias("__mix_h"))
+    packed = docs.select(F.struct("*").alias("__mix_row"), F.col("source").cast("string").alias("__mix_source"), _hash(docs).alias("__mix_h"))
+    packed = number_copies(packed, None if repeated is None else repeated.withColumnRenamed("h", "__mix_h"), "__mix_h")
     out = packed.join(found, F.col("__mix_source").eqNullSafe(F.col("__mix_s")))
     out = out.withColumn("__mix_n", copies_of(F.col("__mix_h"))).where("__mix_n > 0")
     return out.select("__mix_row", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))).alias("__mix_copy")).select("__mix_row.*")
@@ -111,7 +153,9 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
 
 ORACLE = r"""
 WITH t AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, left(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 12) AS h FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(CAST(strlen(source) AS VARCHAR), '-') || ':' || coalesce(source, '') || coalesce(text, '')) AS h0,
+    row_number() OVER (PARTITION BY h0) - 1 AS copy, left(CASE WHEN copy = 0 THEN h0 ELSE md5(h0 || copy) END, 12) AS h FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS n, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM t GROUP BY source
 ), o AS (

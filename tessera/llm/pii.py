@@ -132,24 +132,24 @@ def _counted(text: str) -> Counter[str]:
     return Counter(map(str.lower, _WORD.findall(text)))
 
 
-_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, text string, key long, size long, found array<long>"
+_FOUND = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, s1 long, s2 long, text string, key long, size long, found array<long>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     row = TaskContext.get().partitionId() << 33
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("base", pa.string()), ("text", pa.string()), ("key", pa.int64()), ("size", pa.int64()), ("found", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("base", pa.string()), ("s1", pa.int64()), ("s2", pa.int64()), ("text", pa.string()), ("key", pa.int64()), ("size", pa.int64()), ("found", pa.list_(pa.int64()))])
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
             some, rows = batch.slice(i, 1024), []
-            for doc_id, text, key in zip(*(some.column(c).to_pylist() for c in range(3)), strict=True):
+            for doc_id, text, key, other in zip(*(some.column(c).to_pylist() for c in range(4)), strict=True):
                 text = text or ""
                 spans = base_spans(text)
                 n = Counter(k for _, k, _ in spans)
                 found = sorted({_hash(entity(text, s)) for s in spans})
                 said = written(spans)
-                rows.append({"row": row, "doc_id": doc_id, **{f"n_{KINDS[k]}": n[k] for k in range(4)}, "base_sha256": hashlib.sha256(said.encode()).hexdigest(), "base": said, "text": text if spans else None, "key": key if text else None, "size": _counted(text).total() if spans else None, "found": found or None})
+                rows.append({"row": row, "doc_id": doc_id, **{f"n_{KINDS[k]}": n[k] for k in range(4)}, "base_sha256": hashlib.sha256(said.encode()).hexdigest(), "base": said, "s1": key, "s2": other, "text": text if spans else None, "key": key if text else None, "size": _counted(text).total() if spans else None, "found": found or None})
                 row += 1
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -221,20 +221,26 @@ def _add_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans, own = base_spans(text), set(own)
                 said = written(sorted(spans + [(a, 4, b) for a, b, t in _terms(text, spans) if t in own]))
             out.append(said)
-        columns = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256"]
+        columns = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "s1", "s2"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.string())], [*columns, "spans"])
 
 
-def find_spans(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
-    """doc_id, counts and digest of the entities, and all spans, of every row of documents."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slim = slim.withColumn("key", F.xxhash64("text"))
+def _found(docs: DataFrame, alpha: float, level: float) -> DataFrame:
+    """doc_id, counts and digest of the entities, all spans, and two hashes of the text, of every row of (doc_id, text)."""
+    text = F.col("text").cast("string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("other"))
     scanned = cut(slim.mapInArrow(_scan, _FOUND))
     risky = disclosing_terms(slim, scanned, alpha, level)
+    each = risky.groupBy("e").agg(F.collect_list("term").alias("terms"))
     held = scanned.where("found is not null").select("row", F.explode("found").alias("e")).distinct()
-    terms = held.join(risky, "e").groupBy("row").agg(F.collect_set("term").alias("terms"))
+    terms = held.join(each, "e").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
     out = scanned.drop("found", "key", "size").join(terms, "row", "left")
-    return out.mapInArrow(_add_terms, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return out.mapInArrow(_add_terms, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, s1 long, s2 long, spans string")
+
+
+def find_spans(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
+    """doc_id, counts and digest of the entities, and all spans, of every row of documents."""
+    return _found(docs.select("doc_id", "text"), alpha, level).drop("s1", "s2")
 
 
 def redact(text: str, spans: str) -> str:
@@ -250,9 +256,18 @@ def redact(text: str, spans: str) -> str:
 
 
 def sanitise(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
-    """``docs`` with their entities and disclosing terms generalised. Ids must be unique where texts have spans."""
-    found = find_spans(docs, alpha, level).where("spans <> ''").select(F.col("doc_id").alias("__pii_id"), F.col("spans").alias("__pii_spans"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__pii_id"]), "left")
+    """``docs`` with their entities and disclosing terms generalised.
+
+    Spans depend on the text alone, so rows get them by two hashes of their text; ids need not be unique or given.
+    """
+    if taken := {"__pii_1", "__pii_2", "__pii_spans"} & set(docs.columns):
+        raise ValueError(f"the rows already have columns named {sorted(taken)}")
+    text = F.col("text").cast("string")
+    keys = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    found = _found(docs.select("text", F.lit(None).cast("long").alias("doc_id")), alpha, level).where("spans <> ''")
+    found = found.dropDuplicates(["s1", "s2"]).select(F.col("s1").alias("__pii_1"), F.col("s2").alias("__pii_2"), F.col("spans").alias("__pii_spans"))
+    keyed = docs.withColumns({"__pii_1": keys[0], "__pii_2": keys[1]})
+    joined = keyed.join(found, ["__pii_1", "__pii_2"], "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__pii_spans")
     schema, names = docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,14 +9,15 @@ backward pass. Bayes' rule with the languages' shares gives the prediction and i
 
 Learning reads only the text and the non-null language of rows that the caller marks, and of these
 a sample of about ``sample_rows`` distinct texts a language, at least one, drawn by a hash of the
-text: a documented bound on the labelled rows that fit the classifier. Scoring covers whole texts of all rows; a word longer
-than 32 bytes is scored in stretches of 32 bytes.
+text: a documented bound on the labelled rows that fit the classifier. Scoring covers whole texts of
+all rows, and sums over whole words however long they are: those of more than 32 bytes (sentences, in
+scripts without blanks) go through the same recursion in a window that moves along them. Only learning
+cuts such words, into stretches of about 32 bytes that end between characters.
 
 Defined cases: null text or a text without a letter gives ``und`` with score 0; so does everything
 if no labelled row can be learned from. Ties go to the smaller language name. Repeated rows are
-judged alike. Other columns are ignored. Words with a digit and no letter but a-z count for no
-language, neither in learning nor in scoring (codes, addresses and keys are spelled alike
-everywhere); a text whose letters all stand in such words is judged by the languages' shares alone.
+judged alike. Other columns are ignored. Digits tell no language and part words like blanks do, so all
+letters beside them count.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from .words import U, WordRows, hash_spans, lower_ascii, pieces, raw, releasing,
 
 UNKNOWN = "und"
 _STRETCH, _SCALE = 32, 32.0
+#: Long words that are scored together, and their places at a time.
+_ROWS, _CELLS = 1024, 8192
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -80,12 +83,17 @@ class Pieces:
 
 
 def stretches(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words cut into stretches of at most 32 bytes: the word of each, its start and end."""
+    """Words cut into stretches of about 32 bytes, at most 35, between characters: the word of each, its start and end."""
     parts = -(-(end - start) // _STRETCH)
     word = np.repeat(np.arange(len(start)), parts)
     k = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
     low = start[word] + k * _STRETCH
-    return word, low, np.minimum(low + _STRETCH, end[word])
+    for _ in range(3):  # bytes that go on with a character
+        low -= (k > 0) & ((data[low] & 0xC0) == 0x80) if len(low) else 0
+    high = np.concatenate((low[1:], end[-1:]))
+    last = np.concatenate((word[1:] != word[:-1], [True])) if len(word) else np.zeros(0, bool)
+    high[last] = end[word[last]]
+    return word, low, high
 
 
 def lattices(known: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray):
@@ -135,6 +143,44 @@ def forward(size: int, found, table: np.ndarray, rows: int) -> list[np.ndarray]:
     return alpha
 
 
+def long_scores(known: Pieces, table: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of all segmentations of each word, a blank in front, for each language.
+
+    Like ``forward``, but only the last ``known.longest`` sums are held, and scaled again every few bytes; the
+    memory does not depend on how long words are.
+    """
+    n, g, reach = len(start), table.shape[1], known.longest
+    size = end - start + 1
+    step = max(8, _CELLS // n)
+    out, log_scale = np.zeros((n, g)), np.zeros((n, g))
+    held = np.zeros((n, reach, g))  # sums at the last places, the newest last
+    held[:, -1] = 1
+    scale = _SCALE ** np.arange(reach, 0, -1)[:, None]
+    for low in range(0, int(size.max()), step):
+        width = min(step, int(size.max()) - low)
+        # bytes from reach - 1 before the first place that is filled here
+        place = np.arange(low - reach + 1, low + width)[None, :]
+        real = (place >= 1) & (place < size[:, None])
+        text = np.where(real, data[np.minimum(start[:, None] + np.maximum(place, 1) - 1, len(data) - 1)], 32).astype(np.uint8)
+        flat, base = text.ravel(), np.arange(n)[:, None] * text.shape[1]
+        ids = np.full((n, width, reach), known.count, np.int32)  # pieces of span reach - k that end at each place
+        for span in range(1, reach + 1):
+            first = np.arange(reach - span, reach - span + width)
+            found = known.find(_windows(flat, (base + first).ravel(), span)).reshape(n, width)
+            ids[:, :, reach - span] = np.where(low + np.arange(width) + 1 >= span, found, known.count)
+        for t in range(width):
+            new = (held * table[ids[:, t]] * scale).sum(axis=1)
+            held = np.concatenate((held[:, 1:], new[:, None]), axis=1)
+            if (low + t) % 8 == 7:
+                top = np.maximum(held.max(axis=1), 1e-300)
+                held /= top[:, None]
+                log_scale += np.log(top)
+            done = np.flatnonzero(size == low + t + 1)
+            if len(done):
+                out[done] = np.log(np.maximum(held[done, -1], 1e-300)) + log_scale[done] - size[done, None] * np.log(_SCALE)
+    return out
+
+
 def expected(size: int, found, table: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected count of each piece in rows that occur ``weight`` times, under each language."""
     rows = len(weight)
@@ -165,25 +211,29 @@ class LanguageModel:
 
     def word_scores(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log probability of each word under each language."""
-        word, low, high = stretches(data, start, end)
-        first = np.concatenate(([True], word[1:] != word[:-1])).astype(np.int64) if len(word) else np.zeros(0, np.int64)
         out = np.zeros((len(start), len(self.langs)))
-        for rows, size, found in lattices(self.known, data, low, high, first):
+        long = end - start > _STRETCH
+        short = np.flatnonzero(~long)
+        for rows, size, found in lattices(self.known, data, start[short], end[short], np.ones(len(short), np.int64)):
             alpha = forward(size, found, self.table, len(rows))[size]
-            np.add.at(out, word[rows], np.log(np.maximum(alpha, 1e-300)) - size * np.log(_SCALE))
+            out[short[rows]] = np.log(np.maximum(alpha, 1e-300)) - size * np.log(_SCALE)
+        longs = np.flatnonzero(long)
+        longs = longs[np.argsort(end[longs] - start[longs], kind="stable")]
+        while len(longs):
+            # words of like length together, so that little is filled up
+            size = end[longs] - start[longs]
+            n = min(_ROWS, int(np.searchsorted(size, 2 * size[0], side="right")))
+            out[longs[:n]] = long_scores(self.known, self.table, data, start[longs[:n]], end[longs[:n]])
+            longs = longs[n:]
         return out
 
 
 _seen: dict[str, tuple[WordRows, list]] = {}
 
 
-def _codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Whether each span has a digit and no letter outside of ASCII. Without blanks a sentence is one span."""
-    some, wide = (np.concatenate(([0], np.cumsum(x))) for x in ((data >= 48) & (data <= 57), data >= 128))
-    out = some[end] > some[start]
-    for i in np.flatnonzero(out & (wide[end] > wide[start])).tolist():
-        out[i] = not any(c.isalpha() and c > "\x7f" for c in data[start[i] : end[i]].tobytes().decode("utf-8", "replace"))
-    return out
+def plain(data: np.ndarray) -> np.ndarray:
+    """A-Z become a-z, and digits blanks."""
+    return np.where((data >= 48) & (data <= 57), np.uint8(32), lower_ascii(data))
 
 
 def _letters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -199,7 +249,7 @@ def _letters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 def score_texts(model: LanguageModel, column) -> tuple[np.ndarray, np.ndarray]:
     """Of each text of an Arrow column: the index of its language (-1: none) and its probability."""
     data, at = raw(column)
-    data = lower_ascii(data)
+    data = plain(data)
     start, end = spans(data, at)
     bound = np.searchsorted(start, at)
     keys, first, inverse = np.unique(hash_spans(data, start, end), return_index=True, return_inverse=True)
@@ -214,8 +264,7 @@ def score_texts(model: LanguageModel, column) -> tuple[np.ndarray, np.ndarray]:
     new = np.flatnonzero(rows < 0)
     if len(new):
         s, e = start[first[new]], end[first[new]]
-        scores = model.word_scores(data, s, e) * ~_codes(data, s, e)[:, None]
-        fresh = np.concatenate((scores, _letters(data, s, e)[:, None]), axis=1).astype(np.float32)
+        fresh = np.concatenate((model.word_scores(data, s, e), _letters(data, s, e)[:, None]), axis=1).astype(np.float32)
         rows[new] = known.add(keys[new])
         values[0] = np.concatenate((values[0], fresh))
     each = values[0][rows][inverse]
@@ -240,11 +289,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = langs[i : i + len(text)]
             for lang in sorted(set(own)):
                 data, at = raw(text.filter(pa.array(own == lang)))
-                data = lower_ascii(data)
+                data = plain(data)
                 start, end = spans(data, at)
                 _, first, n = np.unique(hash_spans(data, start, end), return_index=True, return_counts=True)
-                use = ~_codes(data, start[first], end[first])
-                words, n = [data[start[k] : end[k]].tobytes() for k in first[use].tolist()], n[use]
+                words = [data[start[k] : end[k]].tobytes() for k in first.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
 

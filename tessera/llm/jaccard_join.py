@@ -274,10 +274,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     marked = rows.join(best, "root").select("doc_id", "key", (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("key") == F.col("best_key"))).alias("best"))
     each = cut(marked.groupBy("doc_id", "key").agg(F.max("best").alias("best"), F.count("*").alias("many")))
     losers = each.where("not best").select(F.col("doc_id").alias("__lose_id"), F.col("key").alias("__lose_key"))
-    same = docs[id_col].cast("long").eqNullSafe(losers["__lose_id"]) & (text_key(docs[text_col]) == losers["__lose_key"])
-    kept = docs.join(losers, same, "left_anti")
-    # equal rows of one id can't be told apart by a join
-    return kept if each.where("best and many > 1").isEmpty() else kept.dropDuplicates([id_col, text_col])
+    kept = docs.join(losers, _same_row(docs, losers, id_col, text_col), "left_anti")
+    repeated = each.where("best and many > 1").select(F.col("doc_id").alias("__lose_id"), F.col("key").alias("__lose_key"))
+    if repeated.isEmpty():
+        return kept
+    # rows of one id and text can't be told apart by a join: one of each stays, and all others as they are
+    repeated = cut(repeated)
+    single = docs.join(repeated, _same_row(docs, repeated, id_col, text_col), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(repeated, _same_row(kept, repeated, id_col, text_col), "left_anti").unionByName(single)
+
+
+def _same_row(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> Column:
+    return docs[id_col].cast("long").eqNullSafe(rows["__lose_id"]) & (text_key(docs[text_col]) == rows["__lose_key"])
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:

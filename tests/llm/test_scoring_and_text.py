@@ -80,9 +80,69 @@ def test_words_with_digits(spark):
     docs = spark.createDataFrame([(i, (zh, ja)[i % 2] + "。" * (i // 2), "zj"[i % 2]) for i in range(24)] + [(100 + i, f"見て3{i}", "j") for i in range(20)], "doc_id long, text string, lang string")
     got = langid.identify(docs).collect()
     assert all(r["lang_pred"] == "zj"[r["doc_id"] % 2] for r in got if r["doc_id"] < 24)
-    data = np.frombuffer("ab12 12 né3 “x9” 京3 x".encode(), np.uint8)
-    at = np.flatnonzero(np.concatenate(([True], data == 32, [True])))
-    assert langid._codes(data, at[:-1], at[1:] - 1).tolist() == [True, True, False, True, False, False]
+    # the letters beside digits count, and digits themselves do not
+    more = docs.union(spark.createDataFrame([(500, zh + "2024年" * 3, None), (501, "2024", None), (502, "看3", None)], docs.schema))
+    by = {r["doc_id"]: r for r in langid.identify(more).collect()}
+    assert by[500]["lang_pred"] == "z" and by[500]["score"] > 0.9 and by[501]["lang_pred"] == "und" and by[502]["lang_pred"] != "und"
+
+
+def small_model(seed):
+    words = [b" a", b" ab", b"ab", b"bc", b"abc", b"cab", b"aa", *(bytes([i]) for i in range(256))]
+    table = np.vstack([np.random.default_rng(seed).random((len(words), 2)) * 0.01, np.zeros((1, 2))])
+    return words, langid.LanguageModel(["p", "q"], np.zeros(2), langid.Pieces.of(words), table)
+
+
+def test_long_words_sum_all_segmentations():
+    words, model = small_model(2)
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.choice(list(b"abc"), n)) for n in (33, 34, 40, 61, 62, 63, 200, 1000, 9001)]
+    end = np.cumsum([len(t) for t in texts])
+    got = model.word_scores(np.frombuffer(b"".join(texts), np.uint8), end - [len(t) for t in texts], end)
+    for row, text in enumerate(texts):
+        text = b" " + text
+        for g in range(2):
+            alpha, lost = [1.0], 0.0
+            for j in range(1, len(text) + 1):
+                alpha.append(sum(alpha[j - len(w)] * model.table[i, g] for i, w in enumerate(words) if len(w) <= j and text[j - len(w) : j] == w))
+                if j % 20 == 0:
+                    alpha, lost = [0.0] * (j - 7) + [x / alpha[j] for x in alpha[-8:]], lost + math.log(alpha[j])
+            assert math.isclose(got[row, g], math.log(alpha[-1]) + lost, rel_tol=1e-9), len(text)
+
+
+def test_expected_counts():
+    words, model = small_model(4)
+    text = b" abcabaa"
+    cuts = [c for c in itertools.product((0, 1), repeat=len(text) - 1)]
+    want = np.zeros_like(model.table)
+    for g in range(2):
+        total, counts = 0.0, np.zeros(len(want))
+        for c in cuts:
+            parts = [x for x in re.split(rb"\0", b"".join(bytes([text[i]]) + (b"\0" if i < len(c) and c[i] else b"") for i in range(len(text))))]
+            if all(p in words for p in parts):
+                ids = [words.index(p) for p in parts]
+                chance = math.prod(model.table[ids, g])
+                total += chance
+                np.add.at(counts, ids, chance)
+        want[:, g] = 3 * counts / total
+    data = np.frombuffer(text[1:], np.uint8)
+    ((rows, size, found),) = langid.lattices(model.known, data, np.array([0]), np.array([len(data)]), np.array([1]))
+    assert np.allclose(langid.expected(size, found, model.table, np.full((1, 2), 3.0)), want)
+
+
+def test_stretches_end_between_characters():
+    text = ("x" * 31 + "京都へ行く" * 20 + " é" * 40).encode()
+    word, low, high = langid.stretches(np.frombuffer(text, np.uint8), np.array([0, 3]), np.array([len(text), 9]))
+    parts = [text[a:b] for a, b in zip(low, high, strict=True)]
+    assert b"".join(parts[:-1]) == text and parts[-1] == text[3:9] and word.tolist() == [0] * (len(parts) - 1) + [1]
+    assert max(map(len, parts)) <= 35 and all(p.decode() for p in parts)
+
+
+def test_ties_go_to_the_smaller_name(spark):
+    docs = spark.createDataFrame([(i, "same words here", "ba"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    counts = docs.where(~langid.held_out(docs["doc_id"])).groupBy("lang").count().collect()
+    got = {r["lang_pred"] for r in langid.identify(docs).collect()}
+    most = max(r["count"] for r in counts)
+    assert got == {min(r["lang"] for r in counts if r["count"] == most)}
 
 
 def test_sample_of_distinct_texts(spark):
@@ -226,8 +286,18 @@ def test_disclosing_terms(spark):
         text = next(t for i, t, _ in rows if i == r["doc_id"]) or ""
         assert r["base_sha256"] == hashlib.sha256(pii.written(brute(text)).encode()).hexdigest()
     assert "term" not in "".join(r["spans"] for r in pii.find_spans(docs, alpha=2.0).collect())
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs.dropDuplicates(["doc_id"])).collect()}
-    assert clean[1000] == "lorem [TERM] [EMAIL] alpha the common end" and clean[None] is None
+    # texts with spans under one id, a null id, and repeated rows
+    more = [(1, "lorem write to a@b.example now", "s"), (1, "call +1 988 555 2485 ok", "t"), (1, "nothing here", "s"), (None, "call +1 988 555 2485 ok", "s")]
+    both = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    clean = pii.sanitise(both)
+    assert clean.columns == docs.columns
+    clean = sorted((str(r["doc_id"]), r["text"] or "", r["spans"]) for r in clean.collect())
+    spans = {(r["doc_id"], r["base_sha256"]): r["spans"] for r in pii.find_spans(both).collect()}
+    sha = lambda t: hashlib.sha256(pii.written(brute(t or "")).encode()).hexdigest()
+    assert clean == sorted((str(i), pii.redact(t or "", spans[i, sha(t)]), s) for i, t, s in rows + more)
+    assert ("1000", "lorem [TERM] [EMAIL] alpha the common end", "s") in clean and clean.count(("1", "call [PHONE] ok", "t")) == 1
+    with pytest.raises(ValueError):
+        pii.sanitise(docs.withColumnRenamed("spans", "__pii_spans"))
     assert pii.redact("abcdef", "email:1:3,ip:2:4") == "a[EMAIL]ef"
     assert pii.find_spans(docs.limit(0)).collect() == []
     by_all = pii.SMALL

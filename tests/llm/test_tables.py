@@ -142,6 +142,66 @@ def test_urls(spark):
     assert [r["d"] for r in row] == ["b.co.uk", "b.com", "com"]
 
 
+def brute_reputations(hosts, z=1.645):
+    """host -> (mean, bound) of (host, n, k), by sums over all levels."""
+
+    def weight(groups):
+        groups = [g for g in groups if g[0] > 0]
+        n, g = sum(x[0] for x in groups), len(groups)
+        if n <= g:
+            return 10.0
+        s = sum((k - n_ * m) ** 2 / (n_ * m * (1 - m)) for n_, k, m in groups)
+        rho = max(0.001, min(0.9, (s - g) / (n - g)))
+        return (1 - rho) / rho
+
+    total = (sum(k for _, _, k in hosts) + 0.5) / (sum(n for _, n, _ in hosts) + 1)
+    keys = [lambda h: h.rsplit(".", 1)[-1], lambda h: ".".join(h.split(".")[-2:]), lambda h: h]
+    above = {h: total for h, _, _ in hosts}
+    for key in keys:
+        groups = {}
+        for h, n, k in hosts:
+            g = groups.setdefault(key(h), [0, 0, above[h]])
+            g[0] += n
+            g[1] += k
+        w = weight(groups.values())
+        post = {g: (k + w * m, n - k + w * (1 - m)) for g, (n, k, m) in groups.items()}
+        above = {h: post[key(h)][0] / sum(post[key(h)]) for h, _, _ in hosts}
+    out = {}
+    for h, _, _ in hosts:
+        a, b = post[h]
+        out[h] = (a / (a + b), a / (a + b) - z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5)
+    return out
+
+
+def test_reputations_of_all_levels(spark):
+    rng = random.Random(6)
+    hosts, pages, labels, page = [], [], [], 0
+    for suffix, domain, sub in itertools.product(("com", "net", "org"), "abcd", ("", "x.", "y.")):
+        host, bad = f"{sub}{domain}.{suffix}", min(0.95, 0.1 + 0.25 * (suffix == "net") + 0.5 * (domain == "d") + 0.1 * (sub == "x."))
+        n = rng.choice((0, 1, 5, 40))
+        k = sum(rng.random() < bad for _ in range(n))
+        hosts.append((host, n, k))
+        for i in range(n + 1):  # one page without a label
+            pages.append((page, host))
+            if i < n:
+                labels.append((page, int(i < k)))
+            page += 1
+    want = brute_reputations(hosts)
+    got = url_reputation.reputations(spark.createDataFrame(pages, "page_id long, host string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    assert {(r["host"], r["n"], r["k"]) for r in got} == set(hosts)
+    for r in got:
+        assert abs(r["mean"] - want[r["host"]][0]) < 1e-9 and abs(r["bound"] - want[r["host"]][1]) < 1e-9
+    assert any(b > 0.5 for _, b in want.values()) and any(b < 0.2 for _, b in want.values())
+    small = url_reputation.SMALL
+    try:
+        url_reputation.SMALL = 0  # hosts joined by a shuffle
+        urls = spark.createDataFrame([(i, f"http://{h}/") for i, h in pages], "page_id long, url string")
+        judged = url_reputation.judge(urls, spark.createDataFrame(labels, "page_id long, bad int"), rules=()).collect()
+    finally:
+        url_reputation.SMALL = small
+    assert len(judged) == len(pages) and all((r["verdict"] == "block") == (want[r["host"]][1] > 0.5) for r in judged)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(30, 8))
@@ -251,6 +311,32 @@ def test_mixing(spark):
         words[r["source"]] += len((r["text"] or "").split())
     assert words == taken - Counter()
     assert mixing.mix_plan(docs.limit(0)).collect() == [] and mixing.apply_mix(docs.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        mixing.apply_mix(docs.withColumnRenamed("lang", "__mix_h"))
+
+
+@pytest.mark.parametrize("small", [mixing.SMALL, 0])
+def test_mixing_of_copies(spark, small, monkeypatch):
+    monkeypatch.setattr(mixing, "SMALL", small)
+    text = "w " * 100
+    rows = [(None, text, f"x{i}", "a", 1) for i in range(50)] + [(None, text, "x", None, 1)] * 3 + [(None, text, "x", "", 1)] * 2
+    rows += [(i, text, "x", "b", 1) for i in range(60)] + [(7, text + "more", "x", "b", 1), (8, text, "x", "a", 1)]
+    docs = spark.createDataFrame(rows, DOC).repartition(5)
+    got = mixing.mix_plan(docs).collect()
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    assert len(got) == len(rows)
+    mixed = Counter()
+    for r in mixing.apply_mix(docs).collect():
+        mixed[r["source"]] += len(r["text"].split())
+    for s in sizes:
+        assert abs(mixed[s] - want[s]) <= 102, (s, mixed[s], want[s])
+    assert sum(mixed.values()) == sum(r["taken"] for r in got)
+    assert all(r["taken"] <= 3 * r["size"] for r in got)
+    again = mixing.mix_plan(docs.repartition(2, "lang")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
 
 
 def brute_components(rows, percent=80):
@@ -308,6 +394,11 @@ def test_jaccard(spark, block, monkeypatch):
         assert kept.columns == docs.columns
         expected = len({x for x, s in zip(label, sets, strict=True) if s}) + sum(1 for s in sets if not s)
         assert kept.count() == expected
+        # repeated rows beside wordless ones that are repeated too: rows without words stay, whatever else is there
+        some = [(1, None), (1, None), (2, "one two three"), (None, ""), (None, ""), (1, ""), (4, " ")]
+        for extra in ([], [(2, "one two three")], [(2, "one two three")] * 3 + [(3, "ONE two three")]):
+            left = jaccard_join.keep_one(spark.createDataFrame([(d, t, f"r{i}") for i, (d, t) in enumerate(some + extra)], "doc_id long, text string, root string")).collect()
+            assert Counter((r["doc_id"], r["text"]) for r in left) == Counter(some)
         assert jaccard_join.jaccard_components(docs.limit(0)).collect() == [] and jaccard_join.keep_one(docs.limit(0)).collect() == []
 
 

@@ -10,13 +10,18 @@ the prefixes selective, so boilerplate that many documents share stands at the e
 How it runs:
 
 1. One pass hashes the shingles of every document (numpy over Arrow batches) and sends them, as
-   packed arrays by range of hash, to tasks that count in how many documents each occurs. Only
-   tokens of two documents or more return to their documents, in one row per document.
+   packed arrays by range of hash, to tasks that count in how many documents each occurs. A token
+   that many documents of a chunk hold is counted in the chunk and sent as one number, while the
+   chunk keeps its holders, so no token makes a range of hashes large. Only tokens of two documents
+   or more return to their documents, in one row per document.
 2. Documents with equal sets form a class with one representative. For every token of the rarest
    first prefixes, the holders are compared with the smallest holder (as many pairs as postings).
    A group of near copies is connected by this, at linear cost.
 3. Where a token's holders still lie in several components, its holders are compared in blocks of
-   bounded size, whole, so no link can be missed and no list of pairs is written.
+   bounded size, whole, so no link can be missed and no list of pairs is written. Tokens with common
+   holders are taken together, as long as these are a few blocks. Where shared tokens chain more
+   documents than that together, each token's holders are compared by themselves, a pair at its
+   first common token only, so the work is that of the tokens and not the square of the chain.
 
 Defined cases: null text, empty text and text without words have no shingles and link with
 nothing. A null doc_id is a row like any other; a component's id is its smallest non-null doc_id.
@@ -44,6 +49,10 @@ _STEP = (U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 #: Of tokens and prefixes. The second and third prefix only rule pairs out, so their low 32 bits do: a chance match leaves a pair to be verified.
 _KINDS = (np.int64, np.int64, np.int32, np.int32)
 BLOCK_ROWS, BLOCK_TOKENS = 1024, 4_000_000
+#: Blocks of documents up to which the holders of connected tokens are compared together.
+WIDE = 8
+#: From so many holders in a chunk on, a token is counted there. The mark stands for its holders.
+HOT, _MARK = 64, 65535
 
 _DOC = "node long, doc_id long, key long, n int, s1 long, s2 long, toks array<long>, pre1 array<long>, pre2 array<int>, pre3 array<int>"
 
@@ -91,14 +100,14 @@ def _scan(k: int, bits: int, chunk_bytes: int):
                 tokens = (np.concatenate(kept) if kept else np.zeros(0, U)) >> U(64 - _LOW - bits)
                 owner = np.repeat(np.flatnonzero(lead).astype(np.uint16), size[lead])
                 order = np.argsort(tokens, kind="stable")
-                tokens, owner = tokens[order], owner[order]
+                tokens, owner, weight, hot = _counted_here(tokens[order], owner[order])
                 bound = np.searchsorted(tokens, np.arange((1 << bits) + 1, dtype=U) << U(_LOW))
                 nulls = ids.is_null().to_numpy(zero_copy_only=False)
-                rows = [(-1 - chunk % (1 << bits), pickle.dumps((ids.fill_null(0).to_numpy(), nulls, key.to_numpy(), size, b"".join(signs), lead)))]
+                rows = [(-1 - chunk % (1 << bits), pickle.dumps((ids.fill_null(0).to_numpy(), nulls, key.to_numpy(), size, b"".join(signs), lead, hot)))]
                 for bucket in np.flatnonzero(np.diff(bound)).tolist():
                     own = slice(bound[bucket], bound[bucket + 1])
-                    low = tokens[own]
-                    rows.append((bucket, pickle.dumps(((low >> U(32)).astype(np.uint8), low.astype(np.uint32), owner[own]))))
+                    low, marked = tokens[own], owner[own] == _MARK
+                    rows.append((bucket, pickle.dumps(((low >> U(32)).astype(np.uint8), low.astype(np.uint32), owner[own], weight[own][marked]))))
                 for i in range(0, len(rows), 4096):
                     some = rows[i : i + 4096]
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([r[1] for r in some], pa.binary())], ["bucket", "chunk", "payload"])
@@ -106,22 +115,39 @@ def _scan(k: int, bits: int, chunk_bytes: int):
     return run
 
 
+def _counted_here(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Sorted postings with those of each token of many holders as one with a mark, what each stands for, and (token, bounds, holders) of those."""
+    edge = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1], [True]))) if len(tokens) else np.zeros(1, np.int64)
+    run = np.diff(edge)
+    hot = run >= HOT
+    inside = np.repeat(hot, run)
+    kept = (tokens[edge[:-1][hot]], np.concatenate(([0], np.cumsum(run[hot]))), owner[inside])
+    first = ~inside
+    first[edge[:-1]] = True
+    weight = np.ones(len(tokens), np.uint32)
+    weight[edge[:-1][hot]] = run[hot]
+    owner = np.where(inside, np.uint16(_MARK), owner)
+    return tokens[first], owner[first], weight[first], kept
+
+
 def _count(table: pa.Table) -> pa.Table:
     """Of one range of hashes: to each chunk, its postings of tokens that two chunk rows or more hold."""
     chunks, payloads = table.column("chunk").to_numpy(), table.column("payload")
     if table.num_rows and table.column("bucket")[0].as_py() < 0:
         return table.select(["chunk", "payload"]).add_column(1, "bucket", pa.array([-1] * table.num_rows, pa.int32()))
     bucket = table.column("bucket")[0].as_py()
-    high, low, owner, size = [], [], [], []
+    high, low, owner, weight, size = [], [], [], [], []
     for x in payloads:
-        h, lo, o = pickle.loads(x.as_buffer())
-        high.append(h), low.append(lo), owner.append(o), size.append(len(o))
+        h, lo, o, w = pickle.loads(x.as_buffer())
+        each = np.ones(len(o), np.int64)
+        each[o == _MARK] = w
+        high.append(h), low.append(lo), owner.append(o), weight.append(each), size.append(len(o))
     token = np.concatenate(high).astype(U) << U(32) | np.concatenate(low)
     owner, chunk = np.concatenate(owner), np.repeat(np.arange(len(chunks)), size)
     order = np.argsort(token, kind="stable")
     token = token[order]
     edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-    many = np.repeat(np.diff(edge), np.diff(edge))
+    many = np.repeat(np.add.reduceat(np.concatenate(weight)[order], edge[:-1]), np.diff(edge))
     shared = many >= 2
     token, owner, chunk, many = token[shared], owner[order][shared], chunk[order][shared], np.minimum(many[shared], 2**32 - 1).astype(np.uint32)
     order = np.argsort(chunk, kind="stable")
@@ -148,11 +174,17 @@ def _gather(percent: int):
         owner, token, many = [np.zeros(0, np.uint16)], [np.zeros(0, U)], [np.zeros(0, np.uint32)]
         for bucket, payload in zip(table.column("bucket").to_pylist(), table.column("payload"), strict=True):
             if bucket < 0:
-                ids, nulls, key, size, signs, lead = pickle.loads(payload.as_buffer())
+                ids, nulls, key, size, signs, lead, hot = pickle.loads(payload.as_buffer())
             else:
                 o, t, m = pickle.loads(payload.as_buffer())
                 owner.append(o), token.append(t | U(bucket << _LOW)), many.append(m)
         owner, token, many = map(np.concatenate, (owner, token, many))
+        if (marked := owner == _MARK).any():
+            at = np.searchsorted(hot[0], token[marked])
+            held = np.concatenate([hot[2][hot[1][i] : hot[1][i + 1]] for i in at.tolist()])
+            run = np.diff(hot[1])[at]
+            owner = np.concatenate((owner[~marked], held))
+            token, many = (np.concatenate((x[~marked], np.repeat(x[marked], run))) for x in (token, many))
         order = np.argsort(owner, kind="stable")
         token, many = token[order], many[order]
         bound = np.searchsorted(owner[order], np.arange(len(size) + 1))
@@ -203,14 +235,21 @@ def _scatter(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def _first_common(x: np.ndarray, y: np.ndarray) -> int:
+    return np.intersect1d(x, y, assume_unique=True)[0]
+
+
 def _block(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Of one block (or two against each other): edges that connect what its links connect."""
         cand = table.column("cand").to_numpy()
         a: list[int] = []
         b: list[int] = []
-        for c in np.unique(cand):
-            rows = table.take(pa.array(np.flatnonzero(cand == c)))
+        order = np.argsort(cand, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], cand[order][1:] != cand[order][:-1], [True]))) if len(cand) else np.zeros(1, np.int64)
+        for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            rows = table.take(pa.array(order[low:high]))
+            own = rows.column("own")[0].as_py()
             node, root, n, side = (rows.column(x).to_numpy().astype(np.int64) for x in ("node", "root", "n", "side"))
             columns = {x: [np.asarray(v.values) for v in rows.column(x).combine_chunks()] if rows.num_rows else [] for x in ("toks", "pre1", "pre2", "pre3")}
             open_ = np.triu(root[:, None] != root[None, :], 1)
@@ -221,6 +260,9 @@ def _block(percent: int):
                 if open_.any():
                     open_ &= _overlaps(columns[x]) > 0
             i, j = np.nonzero(open_)
+            if own is not None and len(i):
+                first = np.array([_first_common(columns["pre1"][x], columns["pre1"][y]) for x, y in zip(i, j, strict=True)])
+                i, j = i[first == own], j[first == own]
             if len(i) <= 4 * len(node):
                 inter = np.array([len(np.intersect1d(columns["toks"][x], columns["toks"][y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
             else:
@@ -320,6 +362,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", inter.alias("inter")).where(f"100 * inter >= {percent} * (na + nb - inter)").select("a", "b")
 
 
+def _blocks(tokens: Column) -> Column:
+    return F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(tokens) / BLOCK_TOKENS)).cast("int")
+
+
 def _open_links(spark: SparkSession, held: DataFrame, lists: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame | None:
     """Edges for the links that remain between components which share a prefix token."""
     marked = held.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
@@ -329,9 +375,17 @@ def _open_links(spark: SparkSession, held: DataFrame, lists: DataFrame, sets: Da
     if opened.isEmpty():
         return None
     groups = connected(opened.select(F.col("c").alias("a"), F.col("node").alias("b")))
-    members = opened.select("node", "root").distinct().join(groups.withColumnRenamed("root", "cand"), "node").join(sets.select("node", "n", "toks", "pre1", "pre2", "pre3"), "node")
-    members = cut(members)
-    blocks = members.groupBy("cand").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.size("toks")) / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    groups = cut(groups.withColumnRenamed("root", "cand"))
+    members = cut(opened.select("node", "root").distinct().join(groups, "node").withColumn("own", F.lit(None).cast("long")))
+    docs = sets.select("node", "n", "toks", "pre1", "pre2", "pre3")
+    sized = members.join(docs.select("node", F.size("toks").alias("tokens")), "node").groupBy("cand").agg(_blocks(F.col("tokens")).alias("blocks"))
+    wide = cut(sized.where(F.col("blocks") > WIDE).select("cand"))
+    if not wide.isEmpty():
+        tokens = still.join(groups.withColumnRenamed("node", "c"), "c").join(wide, "cand", "left_semi").select("token")
+        alone = marked.join(tokens, "token").select("node", "root", F.col("token").alias("cand"), F.col("token").alias("own"))
+        members = members.join(wide, "cand", "left_anti").select("node", "root", "cand", "own").unionByName(alone)
+    members = cut(members.join(docs, "node"))
+    blocks = members.groupBy("cand").agg(_blocks(F.size("toks")).alias("blocks"))
     total = members.agg(F.count("*"), F.sum(F.size("toks"))).first()
     shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total[0] / BLOCK_ROWS), ceil((total[1] or 0) / BLOCK_TOKENS))
     dealt = members.join(blocks, "cand").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -111,7 +111,7 @@ def pieces(column, most: int = 8 << 20):
     i = 0
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(size, size[i] + most, side="right")) - 1)
-        j = min(j, i + 65536)
+        j = min(j, i + 65535)
         yield i, column.slice(i, j - i)
         i = j
 

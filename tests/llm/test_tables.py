@@ -381,9 +381,10 @@ def jaccard_rows():
     return [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, texts[5], "en", "s", 1), (None, "null id only words here now", "en", "s", 1), (3, texts[3], "en", "s", 1)]
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_jaccard(spark, block, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("block,wide,hot", [(1024, 8, 64), (8, 8, 3), (8, 1, 2)])
+def test_jaccard(spark, block, wide, hot, monkeypatch):
+    for name, value in (("BLOCK_ROWS", block), ("WIDE", wide), ("HOT", hot)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rows = jaccard_rows()
     docs = spark.createDataFrame(rows, DOC.replace("lang", "node").replace("source", "key")).repartition(6)
     want, label, sets = brute_components(rows)
@@ -402,6 +403,33 @@ def test_jaccard(spark, block, monkeypatch):
         assert jaccard_join.jaccard_components(docs.limit(0)).collect() == [] and jaccard_join.keep_one(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("wide", [8, 0])
+def test_jaccard_of_chains_and_common_shingles(spark, wide, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 8), ("WIDE", wide), ("HOT", 4)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(8)
+    parts = [" ".join(f"c{rng.randrange(10**6)}" for _ in range(25)) for _ in range(91)]
+    common = "the same five words everywhere here"
+    # each shares half of its words with the next one, all share a passage, and a few are near copies
+    texts = [f"{parts[i]} {common} {parts[i + 1]}" for i in range(90)]
+    texts += [texts[i] + " and more" for i in range(0, 90, 9)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want, _, _ = brute_components(rows)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
+    assert len({r["component_id"] for r in got}) == 90
+
+
+def test_counted_in_a_chunk(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
+    tokens, owner = np.array([4, 4, 7, 7, 7, 9, 9, 9, 9], np.uint64), np.array([0, 1, 0, 2, 3, 0, 1, 2, 3], np.uint16)
+    t, o, w, (hot, bounds, held) = jaccard_join._counted_here(tokens, owner)
+    assert t.tolist() == [4, 4, 7, 9] and o.tolist() == [0, 1, 65535, 65535] and w.tolist() == [1, 1, 3, 4]
+    assert hot.tolist() == [7, 9] and bounds.tolist() == [0, 3, 7] and held.tolist() == [0, 2, 3, 0, 1, 2, 3]
+    t, o, w, (hot, bounds, held) = jaccard_join._counted_here(tokens[:0], owner[:0])
+    assert len(t) == len(o) == len(w) == len(hot) == len(held) == 0
+
+
 def test_overlap_counts():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50))) for _ in range(70)]

@@ -3,11 +3,17 @@
 Equal vectors form classes; one vector of each is compared. All are scaled to length one and
 turned into the basis of the principal components (eigenvectors of their second moments, which
 leaves products as they are). Vectors are laid into tiles of bounded size by the signs of their
-leading coordinates. Two tiles are compared only if the products of their boxes of leading
-coordinates, with the norms of the rest, could reach the threshold. Within a pair of tiles the
-products of the leading dimensions are accumulated first, in lots; after each lot the product of
-the suffix norms bounds what the rest can add, and pairs that cannot reach the threshold any more
-stop there. Pairs that stay are decided by the cosine of the vectors as given, in double precision.
+leading coordinates, and neighbouring tiles into blocks. Two blocks meet in a task, and there two
+tiles are compared, only if the products of their boxes of leading coordinates, with the norms of
+the rest, could reach the threshold. Within a pair of tiles the products of the leading dimensions
+are accumulated first, in lots; after each lot the product of the suffix norms bounds what the rest
+can add, and pairs that cannot reach the threshold any more stop there. Pairs that stay are decided
+by the cosine of the vectors as given (scaled to length one), in double precision.
+
+A vector is sent once for each block that its own may meet. Blocks grow with the square root of the
+rows up to ``BLOCK_MOST`` vectors, so what is sent grows with rows to the power of 1.5 up to there,
+and beyond with rows times rows / ``BLOCK_MOST`` unless boxes rule blocks out. The driver sees a box
+a block and one row a cell.
 
 A task writes at most a link count and one connecting edge a vector, never its list of pairs.
 
@@ -24,13 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .scratch import cut
+from .scratch import broadcast_if_small, cut
 
 THRESHOLD, LEADS, TILE = 0.9, (16, 32), 4096
+#: Vectors of a block: a multiple of the square root of all, between a tile and a bound for memory.
+BLOCK_GROWTH, BLOCK_MOST = 64, 131_072
+#: Rows of small tables (a row a cell, or a pair of blocks) that may be broadcast.
+SMALL = 500_000
 #: What float32 products of unit vectors may be off by.
 _SLACK = 1e-5
 
@@ -83,12 +94,32 @@ def _cells(basis: np.ndarray, bits: int):
     return run
 
 
+def box_of(x: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Bounds of the leading coordinates of turned vectors, and the greatest norm of the rest."""
+    return x[:, :lead].min(axis=0), x[:, :lead].max(axis=0), float(np.sqrt((x[:, lead:] ** 2).sum(axis=1)).max())
+
+
 def _boxes(basis: np.ndarray, lead: int):
+    """(block, box) of each run of a block's rows in the batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            x = _unit(_matrix(batch.column(1), len(basis))) @ basis
+            found = np.unique(block).tolist()
+            boxes = [pickle.dumps(box_of(x[block == t], lead)) for t in found]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(boxes, pa.binary())], ["block", "box"])
+
+    return run
+
+
+def _joined(lead: int):
+    """One box of all boxes of a block."""
+
     def run(table: pa.Table) -> pa.Table:
-        x = _unit(_matrix(table.column("embedding"), len(basis))) @ basis
-        rest = np.sqrt((x[:, lead:] ** 2).sum(axis=1)).max()
-        low, high = x[:, :lead].min(axis=0), x[:, :lead].max(axis=0)
-        return pa.table([table.column("tile").slice(0, 1), pa.array([pickle.dumps((low, high, rest))], pa.binary())], ["tile", "box"])
+        boxes = [pickle.loads(x.as_buffer()) for x in table.column("box")]
+        low, high = (f(np.array([b[k] for b in boxes]), axis=0) for k, f in ((0, np.min), (1, np.max)))
+        return pa.table([table.column("block").slice(0, 1), pa.array([pickle.dumps((low, high, max(b[2] for b in boxes)))], pa.binary())], ["block", "box"])
 
     return run
 
@@ -131,33 +162,36 @@ def close_pairs(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: floa
     return i[keep], j[keep]
 
 
-def _compare(basis: np.ndarray, threshold: float):
+def _compare(basis: np.ndarray, threshold: float, lead: int):
     def run(table: pa.Table) -> pa.Table:
+        """Of two blocks, or one with itself: link counts, and edges that connect what the links connect."""
+        table = table.take(pa.compute.sort_indices(table, [("tile", "ascending")]))
         tile = table.column("tile").to_numpy()
         x = _unit(_matrix(table.column("embedding"), len(basis)))
-        cid, many = table.column("cid").to_numpy(), table.column("many").to_numpy()
-        sides = [np.flatnonzero(tile == t) for t in np.unique(tile)]
-        one = len(sides) == 1
-        left, right = sides[0], sides[-1]
+        cid, many, block = (table.column(c).to_numpy() for c in ("cid", "many", "block"))
+        edge = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
+        tiles = [np.arange(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        near = reachable([box_of(x[t] @ basis, lead) for t in tiles], threshold)
+        apart = block[0] != block[-1]
+        one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         links = np.zeros(len(x), np.int64)
-        pairs = []
-        if not one or table.column("i")[0].as_py() == table.column("j")[0].as_py():
-            for k in range(0, len(left), 2048):
-                own = left[k : k + 2048]
-                for m in range(0 if not one else k, len(right), 2048):
-                    other = right[m : m + 2048]
-                    i, j = close_pairs(x[own], x[other], basis, threshold, same=one and k == m)
-                    i, j = own[i], other[j]
-                    np.add.at(links, i, many[j])
-                    np.add.at(links, j, many[i])
-                    pairs.append(_forest(len(x), i, j))
-        if pairs:
-            i, j = (np.concatenate([p[k] for p in pairs]) for k in range(2))
-            i, j = _forest(len(x), i, j)
-        else:
-            i = j = np.zeros(0, np.int64)
+        left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a, others in enumerate(near) if one or apart else ():
+            for b in others:
+                if b < a or apart and block[tiles[a][0]] == block[tiles[b][0]]:
+                    continue
+                for k in range(0, len(tiles[a]), 2048):
+                    own = tiles[a][k : k + 2048]
+                    for m in range(k if a == b else 0, len(tiles[b]), 2048):
+                        other = tiles[b][m : m + 2048]
+                        i, j = close_pairs(x[own], x[other], basis, threshold, same=a == b and k == m)
+                        i, j = own[i], other[j]
+                        np.add.at(links, i, many[j])
+                        np.add.at(links, j, many[i])
+                        if len(i):
+                            left, right = _forest(len(x), np.concatenate((left, i)), np.concatenate((right, j)))
         some = np.flatnonzero(links)
-        return pa.table([pa.array(np.concatenate((cid[some], cid[i]))), pa.array(np.concatenate((np.full(len(some), -1), cid[j]))), pa.array(np.concatenate((links[some], np.zeros(len(i), np.int64))))], ["a", "b", "n"])
+        return pa.table([pa.array(np.concatenate((cid[some], cid[left]))), pa.array(np.concatenate((np.full(len(some), -1), cid[right]))), pa.array(np.concatenate((links[some], np.zeros(len(left), np.int64))))], ["a", "b", "n"])
 
     return run
 
@@ -204,22 +238,25 @@ def _links(classes: DataFrame, n: int, width: int, threshold: float, tile: int)
     bits = min(width, max(0, (-(-n // tile) - 1).bit_length()))
     placed = cut(classes.select("cid", "embedding", "many").mapInArrow(_cells(basis, bits), "cid long, embedding array<double>, many long, cell long"))
     # one row a cell: cells are at most twice as many as tiles of the wanted size
-    first, tiles = {}, 0
+    cells, tiles = [], 0
     for cell, size in sorted(placed.groupBy("cell").agg(F.count("*").alias("n")).collect()):
-        first[cell] = (tiles, -(-size // tile))
-        tiles += first[cell][1]
-    start = F.create_map(*(F.lit(x) for c, (t, _) in first.items() for x in (c, t)))
-    parts = F.create_map(*(F.lit(x) for c, (_, k) in first.items() for x in (c, k)))
-    number = (F.element_at(start, F.col("cell")) + F.pmod(F.xxhash64("cid"), F.element_at(parts, F.col("cell")))).cast("int")
-    placed = placed.withColumn("tile", number)
+        cells.append((cell, tiles, -(-size // tile)))
+        tiles += cells[-1][2]
+    together = max(1, min(BLOCK_MOST, int(BLOCK_GROWTH * n**0.5)) // tile)
+    known = broadcast_if_small(spark.createDataFrame(cells, "cell long, start long, parts long"), len(cells), SMALL)
+    number = (F.col("start") + F.pmod(F.xxhash64("cid"), F.col("parts"))).cast("int")
+    placed = placed.join(known, "cell").withColumn("tile", number).withColumn("block", F.floor(F.col("tile") / together).cast("int"))
+    placed = placed.select("block", "embedding", "tile", "cid", "many")
     lead = min(LEADS[0], width)
-    got = {r["tile"]: pickle.loads(r["box"]) for r in placed.groupBy("tile").applyInArrow(_boxes(basis, lead), "tile int, box binary").collect()}
+    boxes = placed.mapInArrow(_boxes(basis, lead), "block int, box binary").groupBy("block").applyInArrow(_joined(lead), "block int, box binary")
+    got = {r["block"]: pickle.loads(r["box"]) for r in boxes.collect()}
     order = sorted(got)
     near = reachable([got[t] for t in order], threshold)
-    partners = spark.createDataFrame([(t, [order[k] for k in ks]) for t, ks in zip(order, near, strict=True)], "tile int, others array<int>")
-    dealt = placed.join(F.broadcast(partners), "tile").withColumn("other", F.explode("others"))
-    dealt = dealt.select(F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "cid", "many", "embedding")
-    return cut(dealt.groupBy("i", "j").applyInArrow(_compare(basis, threshold), "a long, b long, n long"))
+    partners = spark.createDataFrame([(t, [order[k] for k in ks]) for t, ks in zip(order, near, strict=True)], "block int, others array<int>")
+    partners = broadcast_if_small(partners, sum(map(len, near)), SMALL)
+    dealt = placed.join(partners, "block").withColumn("other", F.explode("others"))
+    dealt = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "tile", "cid", "many", "embedding")
+    return cut(dealt.groupBy("i", "j").applyInArrow(_compare(basis, threshold, lead), "a long, b long, n long"))
 
 
 ORACLE = r"""

@@ -202,7 +202,7 @@ def test_reputations_of_all_levels(spark):
     assert len(judged) == len(pages) and all((r["verdict"] == "block") == (want[r["host"]][1] > 0.5) for r in judged)
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(30, 8))
     x = np.vstack([base, base[:10] + rng.normal(scale=0.1, size=(10, 8)), base[:5] * 3, np.tile(base[0], (20, 1)), base[1] + rng.normal(scale=0.15, size=(60, 8)), 1e200 * base[2:3]])
@@ -221,7 +221,9 @@ def test_vectors(spark):
         want[i, int(links[k].sum()), least, i == least] += 1
     for i in (900, 901, 902, 903, 904, 905):
         want[i, 0, i, True] += 1
-    for tile in (4096, 16):
+    for tile, growth, small in ((4096, 64, 500_000), (16, 64, 500_000), (16, 1, 500_000), (16, 4, 0)):
+        monkeypatch.setattr(embedding_dedup, "BLOCK_GROWTH", growth)
+        monkeypatch.setattr(embedding_dedup, "SMALL", small)
         got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(frame, tile=tile).collect())
         assert got == want
     assert embedding_dedup.near_duplicates(frame.limit(0)).collect() == []

@@ -15,9 +15,9 @@ more, so a row has one bounded size however long its item is. Long texts are cut
 
 Defined cases: null or empty texts on either side match nothing. Items of fewer tokens than
 ``WINDOW`` - ``MISSES`` match where all of their tokens stand in a row, those of fewer than
-``SHORTEST`` match nothing. Repeated rows of an id are one document; rows with a null id are
-one as well in the report, and are removed by ``decontaminated`` if any of them overlaps. Other
-columns are ignored by the report and kept by ``decontaminated``.
+``SHORTEST`` match nothing. In the report, repeated rows of an id are one document, as are rows with a
+null id; ``decontaminated`` judges every row by its own text. Other columns are ignored by the report
+and kept by ``decontaminated``.
 """
 
 from __future__ import annotations
@@ -92,9 +92,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any overlap with the benchmark."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("__leak_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__leak_id"]), "left_anti")
+    """The rows of ``docs`` whose text has no overlap with the benchmark; rows are told apart by hashes of their text."""
+    if taken := {"__leak_1", "__leak_2"} & set(docs.columns):
+        raise ValueError(f"the rows already have columns named {sorted(taken)}")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    keys = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    found = overlaps(docs.select(F.struct(*keys).alias("doc_id"), "text"), benchmark).select(F.col("doc_id.col1").alias("__leak_1"), F.col("doc_id.col2").alias("__leak_2")).distinct()
+    return docs.join(found, (keys[0] == found["__leak_1"]) & (keys[1] == found["__leak_2"]), "left_anti")
 
 
 ORACLE = r"""

@@ -30,13 +30,23 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into reliable storage, so that its parts are stable and survive lost executors."""
+    """``df`` computed once into reliable storage, so that its parts are stable and survive lost executors.
+
+    The stored parts go when nothing refers to the frame any more.
+    """
     shared_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``fresh_path`` named."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of frames that nothing refers to any more.
+    """Let Spark remove the shuffle files, and the stored parts, of frames that nothing refers to any more.
 
     It does so only when the driver collects its garbage, which may be long after a ``cut`` has replaced them.
     """

@@ -98,6 +98,8 @@ def test_decontamination(spark):
         assert got == want
     kept = decontamination.decontaminated(frame, bench)
     assert kept.columns == frame.columns
+    more = frame.unionByName(spark.createDataFrame([(None, "all clean", "en", "s", 1), (3, "clean as well", "en", "s", 1)], frame.schema))
+    assert decontamination.decontaminated(more, bench).count() == kept.count() + 2
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _ in docs if d not in {x for x, _ in want})
     assert decontamination.overlaps(frame, bench.limit(0)).collect() == [] and decontamination.overlaps(frame.limit(0), bench).collect() == []
 
@@ -463,3 +465,30 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r["shard"] for r in docs.select("shard").distinct().collect()) == list(range(8))
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(r["doc_id"] for r in final.collect()) == seen[4]
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Empty tables, repeated rows that differ in other columns, null ids and clashing names, through every stage."""
+    rng = random.Random(10)
+    vocab = {"en": "the of and house river green walks slowly under bridge".split(), "de": "der die und haus fluss grün geht langsam unter brücke".split()}
+    text = {i: " ".join(rng.choice(vocab["en" if i % 2 else "de"]) + rng.choice("abcdefghij") * 2 for _ in range(40)) for i in range(60)}
+    item = " ".join(f"q{i}uiz" for i in range(20))
+    clash = DOC + ", shard_ string, node long, root string, key int, taken int, score double, lang_pred string, item_id long, h string, budget string, part int"
+    tail = ("s", 1, "r", 2, 3, 0.5, "l", 4, "h", "b", 5)
+    rows = [(i, t, "en" if i % 2 else "de", f"s{i % 2}" if i % 5 else None, 1, *tail) for i, t in text.items()]
+    rows += [(5, text[5], "en", "other", 9, *tail), (5, text[5], "en", "s1", 7, *tail), (None, text[6] + " more", "de", "s0", 1, *tail), (None, "tail " + item, "en", "s0", 1, *tail), (None, " ".join(text[i] for i in (7, 9, 11)), "en", "s0", 1, *tail)]
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, some in (("full", rows), ("empty", [])):
+        docs = spark.createDataFrame(some, clash)
+        for stage, run in corpus_pipeline.STAGES:
+            out = run(spark, docs, str(tmp_path))
+            if stage != "shards":
+                assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{name}_{stage}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}_{stage}")
+            left = Counter((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()) if stage != "shards" else left
+            if name == "full" and stage == "near_duplicates":
+                assert left[5, text[5]] == 1 and sum(v for (d, _), v in left.items() if d is None) == 2
+            if name == "full" and stage == "benchmark_decontamination":
+                assert sum(v for (d, _), v in left.items() if d is None) == 1 and len(left) == 61
+        assert docs.count() == sum(left.values()) and (name == "full") == bool(left)

@@ -55,7 +55,7 @@ def store_module(tables: Iterable[TableDef]) -> str:
 
 def query_module(templates: Iterable[Template], tables: Iterable[TableDef] = (), dialect: Dialect = SPARK) -> str:
     """A module with a function for each template."""
-    known = {t.name: t for t in tables}
+    known = {t.key: t for t in tables}
     body = [t.compile(dialect).python_source(known) for t in sorted(templates, key=lambda t: t.name)]
     return "\n".join(['"""Queries; generated, do not edit."""', "", "import datetime", "import decimal", "", "from tessera.plans.render import Statement, precompiled", "", "", *body])
 

@@ -27,6 +27,10 @@ class DecodeError(TesseraError):
     """A result row that doesn't fit its destination."""
 
 
+class HookError(TesseraError):
+    """A hook that failed before its operation, which then did not run."""
+
+
 class NoRowsError(TesseraError):
     """One row was asked for and none came."""
 

@@ -1,3 +1,3 @@
 """The functions that statements know by name, and how Spark computes them."""
 
-from .curated import AGGREGATES, CURATED, SPARK_AGGREGATES, aggregate_column, scalar_column  # noqa: F401
+from .curated import AGGREGATES, CURATED, aggregate_column, scalar_column, spark_aggregate  # noqa: F401

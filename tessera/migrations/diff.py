@@ -62,12 +62,19 @@ def _table_changes(old: TableDef, new: TableDef) -> list[Change]:
         if (now := new.column(c.name)) != c:
             what = [f.name for f in fields(c) if getattr(c, f.name) != getattr(now, f.name)]
             raise ManualMigrationError(f"{old.key}.{c.name}: a change of {', '.join(what)} needs a migration by hand")
-    for name in ("primary_key", "uniques", "checks", "foreign_keys", "indexes", "exclusions"):
+    for name in ("primary_key", "uniques", "checks", "foreign_keys", "exclusions"):
         if getattr(old, name) != getattr(new, name):
             raise ManualMigrationError(f"{old.key}: a change of {name} needs a migration by hand")
+    if gone := [old.constraint_name(i) for i in old.indexes if i not in new.indexes]:
+        raise ManualMigrationError(f"{old.key}: dropping or changing the index {', '.join(gone)} needs a migration by hand")
+    indexes = [i for i in new.indexes if i not in old.indexes]
+    more = []
+    if indexes:
+        said = replace(new, indexes=tuple(indexes)).to_json()["indexes"]
+        more = [Change({"add_indexes": old.key, "indexes": said}, {"drop_indexes": old.key, "names": [new.constraint_name(i) for i in indexes]})]
     added = [c for c in new.columns if old.column(c.name) is None]
     if not added:
-        return []
+        return more
     if tuple(new.columns[: len(old.columns)]) != old.columns:
         raise ManualMigrationError(f"{old.key}: new columns stand after the old ones")
     if bad := [c.name for c in added if needs_backfill(c)]:
@@ -75,7 +82,7 @@ def _table_changes(old: TableDef, new: TableDef) -> list[Change]:
     if bad := [c.name for c in added if c.identity]:
         raise ManualMigrationError(f"{old.key}: a new identity column needs a migration by hand")
     columns = replace(new, columns=tuple(added), primary_key=(), uniques=(), checks=(), indexes=(), foreign_keys=(), exclusions=(), relationships=()).to_json()["columns"]
-    return [Change({"add_columns": old.key, "columns": columns}, {"drop_columns": old.key, "columns": [c.name for c in added]})]
+    return [Change({"add_columns": old.key, "columns": columns}, {"drop_columns": old.key, "columns": [c.name for c in added]}), *more]
 
 
 def write_migration(root: str | Path, id_: str, name: str, changes: list[Change]) -> Path:

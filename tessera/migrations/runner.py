@@ -1,8 +1,8 @@
 """Applying and reverting migrations.
 
-A migration is a list of JSON steps on the store: ``create_table``, ``add_columns``, ``drop_table``
-and ``drop_columns`` (of which the last two are written by hand), or Spark SQL text run against
-temporary views of the tables. A migration becomes visible as one transaction with its history row.
+A migration is a list of JSON steps on the store: ``create_table``, ``add_columns``, ``add_indexes``,
+``drop_table``, ``drop_columns`` and ``drop_indexes`` (of which ``drop_table`` and ``drop_columns`` are
+undone by hand), or SQL text with INSERT, UPDATE, DELETE and queries. A migration becomes visible as one transaction with its history row.
 Applying and reverting hold the store's migration lock over their whole run, so of two runners the
 second waits, and then sees what the first has done.
 """
@@ -21,9 +21,11 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from ..errors import MigrationError
+from ..operators.writes import hold
 from ..plans.schema import ColumnDef, TableDef, column, table, text, time
 from ..sources.catalog import HISTORY
 from ..sources.store import Store, Transaction
+from .statements import run_sql
 
 _ID = re.compile(r"[A-Za-z0-9_.-]+\Z")
 HISTORY_TABLE = table(HISTORY, column("id", text()), column("checksum", text()), column("applied_at", time()), primary_key=["id"])
@@ -91,14 +93,17 @@ class Runner:
         return {r["id"]: r["checksum"] for r in self.store.read(HISTORY_TABLE).select("id", "checksum").collect()}
 
     def status(self, migrations: list[Migration]) -> list[tuple[str, State]]:
+        """Of every migration, in order of ids. One that was applied although an earlier one is pending is out of order."""
         done, known = self._history(), _prepared(migrations)
-        last = max(done, default="")
-        out = []
+        out, pending = [], False
         for m in known:
-            if m.id in done:
-                out.append((m.id, State.APPLIED if done[m.id] == m.checksum else State.CHANGED))
+            if m.id not in done:
+                pending = True
+                out.append((m.id, State.PENDING))
+            elif done[m.id] != m.checksum:
+                out.append((m.id, State.CHANGED))
             else:
-                out.append((m.id, State.OUT_OF_ORDER if m.id < last else State.PENDING))
+                out.append((m.id, State.OUT_OF_ORDER if pending else State.APPLIED))
         out += [(i, State.UNKNOWN) for i in done if i not in {m.id for m in known}]
         return sorted(out)
 
@@ -173,10 +178,7 @@ class Runner:
                     for step in json.loads(said):
                         run_step(tx, step)
                 else:
-                    for d in tx.definitions():
-                        tx.read(d).createOrReplaceTempView(d.name)
-                    for one in filter(str.strip, said.split(";")):
-                        self.store.spark.sql(one)
+                    run_sql(tx, said)
             record(tx)
             tx.commit()
         except Exception as e:
@@ -185,7 +187,9 @@ class Runner:
 
 
 def run_step(tx: Transaction, step: dict) -> None:
-    """One step: {"create_table": ...}, {"drop_table": key}, {"add_columns": key, "columns": [...]} or {"drop_columns": key, "columns": [names]}."""
+    """One step: {"create_table": ...}, {"drop_table": key}, {"add_columns": key, "columns": [...]}, {"drop_columns": key, "columns": [names]},
+    {"add_indexes": key, "indexes": [...]} or {"drop_indexes": key, "names": [...]}. A unique index holds for the rows that are there too.
+    """
     if "create_table" in step:
         tx.create_table(TableDef.from_json(step["create_table"]))
     elif "drop_table" in step:
@@ -204,5 +208,16 @@ def run_step(tx: Transaction, step: dict) -> None:
         part = tx.write_part(d, tx.read(old))
         tx.alter_table(d)
         tx.set_parts(d.key, [part])
+    elif "add_indexes" in step:
+        old = tx.definition(step["add_indexes"])
+        new = TableDef.from_json({"name": "x", "columns": [], "indexes": step["indexes"]}).indexes
+        d = replace(old, indexes=(*old.indexes, *new)).validate()
+        hold(tx, replace(d, indexes=new), tx.parts(d.key), [])
+        tx.alter_table(d)
+    elif "drop_indexes" in step:
+        old = tx.definition(step["drop_indexes"])
+        if unknown := set(step["names"]) - {old.constraint_name(i) for i in old.indexes}:
+            raise MigrationError(f"{old.key} has no index {', '.join(sorted(unknown))}")
+        tx.alter_table(replace(old, indexes=tuple(i for i in old.indexes if old.constraint_name(i) not in step["names"])).validate())
     else:
         raise MigrationError(f"unknown step {sorted(step)}")

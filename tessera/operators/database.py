@@ -9,12 +9,12 @@ from typing import Any, Protocol
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import MultipleRowsError, NoRowsError, QueryError, TesseraError, TransactionError, ValidationError
+from ..errors import DecodeError, HookError, MultipleRowsError, NoRowsError, QueryError, TesseraError, TransactionError, ValidationError
 from ..plans.lowering import lower
 from ..plans.nodes import Function, Projection, Select, TableRef, Write
-from ..plans.render import Statement, render
+from ..plans.render import Statement, name_of, render
 from ..plans.schema import TableDef
-from .decode import DynamicRow, check_names, decode
+from .decode import DynamicRow, check_names, decode, plan
 
 
 class Provider(Protocol):
@@ -56,19 +56,27 @@ class Database:
     # -- running
 
     def _run(self, operation: Operation, action: Callable[[], Any]) -> Any:
+        result, error, entered = None, None, []
         for h in self.hooks:
-            if h.before:
-                h.before(operation)
-        result, error = None, None
-        try:
-            result = action()
-        except TesseraError as e:
-            error = e
-        except Exception as e:
-            error = translated(e)
-            error.__cause__ = e
+            try:
+                if h.before:
+                    h.before(operation)
+            except Exception as e:
+                error = HookError(f"a hook failed before the {operation.kind}: {e}")
+                error.__cause__ = e
+                break
+            entered.append(h)
+        if error is None:
+            try:
+                result = action()
+            except TesseraError as e:
+                error = e
+            except Exception as e:
+                error = translated(e)
+                error.__cause__ = e
         later = []
-        for h in reversed(self.hooks):
+        # those whose own before failed, or never ran, have nothing to end
+        for h in reversed(entered):
             if h.after:
                 try:
                     h.after(operation, error)
@@ -155,9 +163,9 @@ class Database:
         self._run(Operation("exec", statement.sql, statement.args), lambda: None if self.dry_run else self.sql_frame(statement))
 
     def register(self, *definitions: TableDef) -> None:
-        """Temporary views of tables, by which static SQL reads them."""
+        """Temporary views of tables, by which static SQL reads them; one of a schema is called `schema.name`, in backticks."""
         for d in definitions:
-            self.read(TableRef(d)).createOrReplaceTempView(d.name)
+            self.read(TableRef(d)).createOrReplaceTempView(f"`{d.key}`")
 
     # -- writing
 
@@ -173,18 +181,21 @@ class Database:
         return self._run(Operation("exec", said.sql, said.args), lambda: 0 if self.dry_run else execute(self, w)[0])
 
     def query_write(self, w: Write, cls: type | None = None) -> Iterator[Any]:
-        """Run a write with RETURNING when its rows are first asked for."""
+        """Run a write with RETURNING when its rows are first asked for.
+
+        Whether the row type finds its columns is checked before anything runs, and rows are made before the commit.
+        """
         self._usable()
         if not w.returning:
             raise ValidationError("returning", "the statement returns no rows")
         w.validate()
+        check_returning(w, cls)
 
         def rows() -> Iterator[Any]:
             from .writes import execute
 
             said = render(w)
-            got = self._run(Operation("query", said.sql, said.args), lambda: None if self.dry_run else execute(self, w)[1].collect())
-            yield from (_made(r, cls) for r in got or ())
+            yield from self._run(Operation("query", said.sql, said.args), lambda: [] if self.dry_run else execute(self, w, lambda df: [_made(r, cls) for r in df.collect()])[1])
 
         return rows()
 
@@ -220,6 +231,14 @@ class Database:
             self.transaction.rollback()
 
 
+def check_returning(w: Write, cls: type | None) -> None:
+    """Refuse what could not be decoded: two columns of one name, or a field of the row type without a column."""
+    names = [p.alias or name_of(p.expression) for p in w.returning]
+    check_names(names)
+    if cls is not None and (missing := [column for _, column, _ in plan(cls) if column not in names]):
+        raise DecodeError(f"the statement returns no column {', '.join(missing)}")
+
+
 def counting(s: Select) -> Select:
     """``COUNT(*)`` of the same rows; order goes, and what would change the meaning is refused."""
     for name in ("limit", "offset"):

@@ -6,10 +6,12 @@ from typing import Any, TypeVar
 
 from ..errors import ValidationError
 from ..plans.nodes import Bound, Expression, Insert, Projection, Update, and_, default_insert, equal, insert, set_, update
+from ..plans.render import render
 from ..plans.schema import TableDef
 from .builder import Table
-from .database import Database
+from .database import Database, Operation
 from .decode import column_values, plan
+from .writes import merge_rows, referred_columns
 
 R = TypeVar("R")
 
@@ -88,7 +90,34 @@ def update_row(db: Database, table: Table[R], row: R) -> int:
 
 
 def update_rows(db: Database, table: Table[R], rows: list[R]) -> int:
-    return sum(update_row(db, table, r) for r in rows)
+    """Update every row by its key, in one write; hooks see one statement.
+
+    Only where other tables refer to what is set, it is one statement a row, in one transaction.
+    """
+    if not rows:
+        return 0
+    d, first = table.definition, update_statement(table, rows[0])
+    if not d.primary_key:
+        raise ValidationError(f"table {d.key}", "it has no primary key; say which rows")
+    columns = tuple(a.column.name for a in first.assignments)
+    db._usable()
+    with_begin = hasattr(db.provider, "begin")
+    if with_begin and referred_columns(db.transaction or db.provider.begin(), d) & set(columns):
+        if db.transaction is not None:
+            return sum(update_row(db, table, r) for r in rows)
+        own = db.begin()
+        try:
+            n = sum(update_row(own, table, r) for r in rows)
+            own.commit()
+        except BaseException:
+            own.rollback()
+            raise
+        return n
+    said = render(first)
+    given = [column_values(r) for r in rows]
+    if missing := [c for g in given for c in (*d.primary_key, *columns) if c not in g]:
+        raise ValidationError(f"table {d.key}", f"a row has no value for {missing[0]}")
+    return db._run(Operation("exec", said.sql, said.args), lambda: 0 if db.dry_run else merge_rows(db, d, given, columns))
 
 
 def update_columns(db: Database, table: Table[R], row: R, *columns: str) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from decimal import Decimal
 from functools import reduce
@@ -21,8 +22,11 @@ from ..sources.store import Transaction
 _ROW = "__row"
 
 
-def execute(db, w: Write) -> tuple[int, DataFrame | None]:
-    """Run a write in the open transaction, or in one of its own; rows touched, and what RETURNING asks for."""
+def execute(db, w: Write, take: Callable[[DataFrame], Any] = lambda rows: rows) -> tuple[int, Any]:
+    """Run a write in the open transaction, or in one of its own; rows touched, and what ``take`` makes of those that RETURNING asks for.
+
+    ``take`` runs before the commit, so nothing is written where the rows don't fit their destination.
+    """
     tx: Transaction | None = db.transaction
     if tx is None and not hasattr(db.provider, "begin"):
         raise CapabilityError("these tables are read only")
@@ -32,7 +36,7 @@ def execute(db, w: Write) -> tuple[int, DataFrame | None]:
         parts, d, target = {Insert: _insert, Update: _update, Delete: _delete, Upsert: _upsert}[type(w)](tx, w)
         touched = tx.read_parts(d, parts)
         n = touched.count()
-        returned = touched.select(*(Lowering(None, _names(target, d)).column(p.expression).alias(p.alias or name_of(p.expression)) for p in w.returning)) if w.returning else None
+        returned = take(touched.select(*(Lowering(None, _names(target, d)).column(p.expression).alias(p.alias or name_of(p.expression)) for p in w.returning))) if w.returning else None
         if own:
             tx.commit()
     except BaseException:
@@ -102,7 +106,7 @@ def _generated(df: DataFrame, d: TableDef) -> DataFrame:
 def _insert(tx: Transaction, w: Insert):
     d = tx.definition(w.into.definition.key)
     part = tx.write_part(d, _incoming(tx, w, d))
-    _hold(tx, d, [part], tx.parts(d.key))
+    hold(tx, d, [part], tx.parts(d.key))
     tx.set_parts(d.key, [*tx.parts(d.key), part])
     _hold_references(tx, d, [part])
     return [part], d, w.into
@@ -128,7 +132,7 @@ def insert_frame(db, definition: TableDef, rows: DataFrame) -> int:
                 else:
                     df = df.withColumn(c.name, F.expr(c.default or "NULL").cast(c.type.spark()))
         part = tx.write_part(d, _generated(df, d))
-        _hold(tx, d, [part], tx.parts(d.key))
+        hold(tx, d, [part], tx.parts(d.key))
         tx.set_parts(d.key, [*tx.parts(d.key), part])
         _hold_references(tx, d, [part])
         n = tx.read_parts(d, [part]).count()
@@ -151,25 +155,86 @@ def _update(tx: Transaction, w: Update):
     d = tx.definition(w.table.definition.key)
     at = Lowering(None, _names(w.table, d))
     values = {a.column.name: at.column(a.value, near=a.column).cast(a.column.definition.type.spark()) for a in w.assignments}
-    part = _rewrite(tx, d, _chosen(w, d), values)
-    return [part], d, w.table
+    return rewrite(tx, d, _chosen(w, d), values), d, w.table
 
 
-def _rewrite(tx: Transaction, d: TableDef, chosen: Column, values: dict[str, Column]) -> str:
-    """Write the rows that stay and those that change as parts of their own."""
-    old = tx.read(d)
+def _hit(tx: Transaction, d: TableDef, chosen: Column) -> tuple[list[str], list[str]]:
+    """The parts that hold a chosen row, and the others."""
+    parts = tx.parts(d.key)
+    if not parts:
+        return [], []
+    place = F.regexp_extract("_metadata.file_path", r"/parts/([^/]+)/[^/]*$", 1)
+    found = {r[0] for r in tx.read(d).where(chosen).select(place).distinct().collect()}
+    return [p for p in parts if p in found], [p for p in parts if p not in found]
+
+
+def rewrite(tx: Transaction, d: TableDef, chosen: Column, values: dict[str, Column]) -> list[str]:
+    """Write the rows that stay and those that change of the parts that hold some of these; other parts are left alone."""
+    hit, rest = _hit(tx, d, chosen)
+    if not hit:
+        return []
+    old = tx.read_parts(d, hit)
     changed = old.where(chosen).select(*(values.get(c.name, F.col(f"`{c.name}`")).alias(c.name) for c in d.columns))
     kept, part = tx.write_part(d, old.where(~chosen)), tx.write_part(d, _generated(changed, d))
     keys = {c for f in _children_of(tx, d) for c in f[1].references} & set(values)
     before = old.where(chosen).select(*(F.col(f"`{c}`").alias(f"old_{c}") for c in sorted(keys)), *(values.get(c, F.col(f"`{c}`")).alias(f"new_{c}") for c in sorted(keys))) if keys else None
     if before is not None:
         before = _stored(tx, before)
-    _hold(tx, d, [part], [kept])
-    tx.set_parts(d.key, [kept, part])
+    hold(tx, d, [part], [*rest, kept])
+    tx.set_parts(d.key, [*rest, kept, part])
     _hold_references(tx, d, [part])
     if before is not None:
         _follow_update(tx, d, before)
-    return part
+    return [part]
+
+
+def merge_rows(db, definition: TableDef, rows: list[dict[str, Any]], columns: tuple[str, ...]) -> int:
+    """Set ``columns`` of the rows that have the primary keys of ``rows``, in one write; how many there were.
+
+    Two rows of one key are refused. Columns that other tables refer to are not followed here.
+    """
+    own = db.transaction is None
+    if own and not hasattr(db.provider, "begin"):
+        raise CapabilityError("these tables are read only")
+    tx = db.transaction or db.provider.begin()
+    try:
+        d = tx.definition(definition.key)
+        struct = d.struct()
+        fields = [f for f in struct if f.name in (*d.primary_key, *columns)]
+        schema = type(struct)([type(f)(f"__new_{f.name}", f.dataType) for f in fields])
+        given = [tuple(_value(r[f.name], d.column(f.name)) for f in fields) for r in rows]
+        new = _stored(tx, tx.spark.createDataFrame(given, schema))
+        keys = [f"__new_{k}" for k in d.primary_key]
+        if not new.groupBy(*keys).count().where("count > 1").isEmpty():
+            raise ConstraintError(d.key, "primary key", "the statement would change a row twice")
+        n = 0
+        parts = tx.parts(d.key)
+        if parts:
+            old = tx.read(d)
+            same = [F.col(f"`{k}`") == F.col(f"__new_{k}") for k in d.primary_key]
+            place = F.regexp_extract("_metadata.file_path", r"/parts/([^/]+)/[^/]*$", 1)
+            found = {r[0] for r in old.select("*", place.alias("__part")).join(new, same, "left_semi").select("__part").distinct().collect()}
+            if found:
+                rest = [p for p in parts if p not in found]
+                old = tx.read_parts(d, [p for p in parts if p in found])
+                changed = old.join(new, same).select(*(F.col(f"__new_{c.name}" if c.name in columns else f"`{c.name}`").alias(c.name) for c in d.columns))
+                kept, part = tx.write_part(d, old.join(new, same, "left_anti")), tx.write_part(d, _generated(changed, d))
+                hold(tx, d, [part], [*rest, kept])
+                tx.set_parts(d.key, [*rest, kept, part])
+                _hold_references(tx, d, [part])
+                n = tx.read_parts(d, [part]).count()
+        if own:
+            tx.commit()
+        return n
+    except BaseException:
+        if own:
+            tx.rollback()
+        raise
+
+
+def referred_columns(tx: Transaction, d: TableDef) -> set[str]:
+    """The columns of a table that foreign keys refer to."""
+    return {c for _, f in _children_of(tx, d) for c in f.references}
 
 
 def _stored(tx: Transaction, df: DataFrame) -> DataFrame:
@@ -183,15 +248,19 @@ def _stored(tx: Transaction, df: DataFrame) -> DataFrame:
 
 def _delete(tx: Transaction, w: Delete):
     d = tx.definition(w.table.definition.key)
-    return [_remove(tx, d, _chosen(w, d))], d, w.table
+    return remove(tx, d, _chosen(w, d)), d, w.table
 
 
-def _remove(tx: Transaction, d: TableDef, chosen: Column) -> str:
-    old = tx.read(d)
+def remove(tx: Transaction, d: TableDef, chosen: Column) -> list[str]:
+    """Take the chosen rows out of the parts that hold them; a part, not of the table any more, that has them."""
+    hit, rest = _hit(tx, d, chosen)
+    if not hit:
+        return []
+    old = tx.read_parts(d, hit)
     kept, gone = tx.write_part(d, old.where(~chosen)), tx.write_part(d, old.where(chosen))
-    tx.set_parts(d.key, [kept])
+    tx.set_parts(d.key, [*rest, kept])
     _follow_delete(tx, d, gone)
-    return gone
+    return [gone]
 
 
 def _upsert(tx: Transaction, w: Upsert):
@@ -217,7 +286,7 @@ def _upsert(tx: Transaction, w: Upsert):
         for k in wanted:
             incoming = incoming.join(old.select(*k), list(k), "left_anti")
         part = tx.write_part(d, incoming)
-        _hold(tx, d, [part], tx.parts(d.key))
+        hold(tx, d, [part], tx.parts(d.key))
         tx.set_parts(d.key, [*tx.parts(d.key), part])
         _hold_references(tx, d, [part])
         return [part], d, w.insert.into
@@ -227,10 +296,15 @@ def _upsert(tx: Transaction, w: Upsert):
     at = Lowering(None, _names(into, d), excluded={c.name: f"__new_{c.name}" for c in d.columns})
     values = {a.column.name: at.column(a.value, near=a.value.column if isinstance(a.value, Excluded) else a.column).cast(a.column.definition.type.spark()) for a in w.assignments}
     changed = old.join(new, same).select(*(values.get(c.name, F.col(f"`{c.name}`")).alias(c.name) for c in d.columns))
-    kept = tx.write_part(d, old.join(incoming.select(*keys), list(keys), "left_anti"))
-    parts = [tx.write_part(d, _generated(changed, d)), tx.write_part(d, incoming.join(old.select(*keys), list(keys), "left_anti"))]
-    _hold(tx, d, parts, [kept])
-    tx.set_parts(d.key, [kept, *parts])
+    added = tx.write_part(d, incoming.join(old.select(*keys), list(keys), "left_anti"))
+    others, parts = tx.parts(d.key), [added]
+    place = F.regexp_extract("_metadata.file_path", r"/parts/([^/]+)/[^/]*$", 1)
+    found = {r[0] for r in old.select(*keys, place.alias("__part")).join(incoming.select(*keys), list(keys), "left_semi").select("__part").distinct().collect()} if others else set()
+    if found:
+        kept = tx.write_part(d, tx.read_parts(d, [p for p in others if p in found]).join(incoming.select(*keys), list(keys), "left_anti"))
+        others, parts = [*(p for p in others if p not in found), kept], [tx.write_part(d, _generated(changed, d)), added]
+    hold(tx, d, parts, others)
+    tx.set_parts(d.key, [*others, *parts])
     _hold_references(tx, d, parts)
     return parts, d, into
 
@@ -238,7 +312,7 @@ def _upsert(tx: Transaction, w: Upsert):
 # -- constraints
 
 
-def _hold(tx: Transaction, d: TableDef, parts: list[str], others: list[str]) -> None:
+def hold(tx: Transaction, d: TableDef, parts: list[str], others: list[str]) -> None:
     """Refuse new rows that break a rule of their own, or a key together with the other rows."""
     rows, rest = tx.read_parts(d, parts), tx.read_parts(d, others)
     rules: list[tuple[str, Column]] = []
@@ -314,7 +388,7 @@ def _act(tx: Transaction, child: TableDef, f: ForeignKeyDef, action: Action, key
         return
     new = {c: F.lit(None) if action is Action.SET_NULL else F.expr(child.column(c).default or "NULL") for c in f.columns}
     part = tx.write_part(child, _generated(hit.withColumns({c: v.cast(child.column(c).type.spark()) for c, v in new.items()}), child))
-    _hold(tx, child, [part], [kept])
+    hold(tx, child, [part], [kept])
     tx.set_parts(child.key, [kept, part])
     _hold_references(tx, child, [part])
 
@@ -336,6 +410,6 @@ def _follow_update(tx: Transaction, d: TableDef, before: DataFrame) -> None:
         same = reduce(and_, (rows[c] == moved[f"_k{i}"] for i, c in enumerate(f.columns)))
         hit = rows.join(moved, same).select(*(F.col(f"_n{f.columns.index(c.name)}").alias(c.name) if c.name in f.columns else rows[c.name] for c in child.columns))
         kept, part = tx.write_part(child, rows.join(moved, same, "left_anti")), tx.write_part(child, _generated(hit, child))
-        _hold(tx, child, [part], [kept])
+        hold(tx, child, [part], [kept])
         tx.set_parts(child.key, [kept, part])
         _hold_references(tx, child, [part])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import QueryError, ValidationError
-from ..functions import SPARK_AGGREGATES, aggregate_column, scalar_column
+from ..functions import aggregate_column, scalar_column, spark_aggregate
 from .nodes import Bound, ColumnRef, Compare, Excluded, Expression, Function, Logical, Membership, Not, NullTest, Scalar, Select, TableRef
 from .render import name_of
 from .schema import Kind
@@ -151,7 +151,7 @@ def _aggregates(e: Expression) -> list[Function]:
 
 
 def _spark_aggregate(e: Expression) -> bool:
-    return holds(e, lambda x: isinstance(x, Function) and not x.curated and x.name.lower() in SPARK_AGGREGATES)
+    return holds(e, lambda x: isinstance(x, Function) and not x.curated and spark_aggregate(x.name))
 
 
 def lower(s: Select, read: Read) -> DataFrame:

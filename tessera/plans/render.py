@@ -199,12 +199,13 @@ class Renderer:
     def upsert(self, w: Upsert) -> None:
         self.insert(w.insert, upsert=True)
         if Can.DUPLICATE_KEY_UPDATE in self.dialect.can:
-            if w.conflict and not w.assignments:
-                first = w.conflict[0].name
-                self.say(" ON DUPLICATE KEY UPDATE ", self.name(first), " = ", self.name(first))
-            else:
-                self.say(" ON DUPLICATE KEY UPDATE ")
-                self.assignments(w)
+            # its clause answers to every key, so it can neither keep to one nor leave rows as they are
+            if w.conflict:
+                raise CapabilityError(f"{self.dialect.name} cannot name the conflict of an upsert")
+            if not w.assignments:
+                raise CapabilityError(f"{self.dialect.name} has no upsert that sets nothing")
+            self.say(" ON DUPLICATE KEY UPDATE ")
+            self.assignments(w)
             return
         self.dialect.require(Can.CONFLICT_TARGET, "ON CONFLICT")
         if w.assignments and not w.conflict:

@@ -1,7 +1,7 @@
 """SQL texts with named, bound values: ``SELECT ... WHERE id = {{bind "id"}}``.
 
 The only action is ``bind "name"``, with a column after it where the value's type is to be told:
-``{{bind "id" users.id}}``.
+``{{bind "id" users.id}}``, or ``{{bind "id" app.users.id}}`` for a table of a schema.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from .render import Statement, precompiled
 from .schema import Kind, TableDef
 
 _ACTION = re.compile(r"\{\{(.*?)\}\}", re.S)
-_BIND = re.compile(r'\s*bind\s+"([A-Za-z_][A-Za-z0-9_]*)"(?:\s+([A-Za-z_][A-Za-z0-9_]*)\.([A-Za-z_][A-Za-z0-9_]*))?\s*\Z')
+_BIND = re.compile(r'\s*bind\s+"([A-Za-z_][A-Za-z0-9_]*)"(?:\s+([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)?)\.([A-Za-z_][A-Za-z0-9_]*))?\s*\Z')
 _PYTHON = {Kind.BOOLEAN: "bool", Kind.INTEGER: "int", Kind.FLOAT: "float", Kind.TEXT: "str", Kind.BYTES: "bytes", Kind.TIME: "datetime.datetime", Kind.JSON: "str", Kind.UUID: "str", Kind.DECIMAL: "decimal.Decimal"}
 
 
@@ -65,7 +65,10 @@ class Compiled:
         return precompiled(self.sql, *(values[n] for n in self.order))
 
     def python_source(self, tables: dict[str, TableDef], function: str | None = None) -> str:
-        """A function with an annotated parameter a name; every name needs a typed bind of one type."""
+        """A function with an annotated parameter a name; every name needs a typed bind of one type.
+
+        ``tables`` go by name, or by schema and name like ``app.users``.
+        """
         types: dict[str, str] = {}
         for name, table, column in self.template.typed:
             d = tables.get(table)

@@ -248,8 +248,10 @@ sr, sn, note = map(TableRef, (_S_REGION, _S_NATION, _NOTE))
 
 
 def scratch(spark: SparkSession, sf_dir: str) -> Database:
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="tessera-store-")

@@ -8,14 +8,17 @@ from ..plans.schema import TableDef, from_spark
 
 
 class ParquetDirectory:
-    """``<root>/<name>.parquet``; Spark prunes columns and pushes filters into the scan."""
+    """``<root>/<name>.parquet``, or ``<root>/<schema>/<name>.parquet``; Spark prunes columns and pushes filters into the scan."""
 
     def __init__(self, spark: SparkSession, root: str, suffix: str = ".parquet"):
         self.spark, self.root, self.suffix = spark, root.rstrip("/"), suffix
 
     def read(self, definition: TableDef) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{definition.name}{self.suffix}")
+        return self.spark.read.parquet(self._path(definition.name, definition.schema))
 
-    def describe(self, name: str) -> TableDef:
+    def _path(self, name: str, schema: str | None) -> str:
+        return "/".join((self.root, *([schema] if schema else []), name + self.suffix))
+
+    def describe(self, name: str, schema: str | None = None) -> TableDef:
         """The description that the files' schema allows."""
-        return from_spark(name, self.spark.read.parquet(f"{self.root}/{name}{self.suffix}").schema)
+        return from_spark(name, self.spark.read.parquet(self._path(name, schema)).schema, schema)

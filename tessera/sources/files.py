@@ -44,6 +44,11 @@ class Files:
         options[0] = fs.Options.Rename.OVERWRITE
         fs.FileContext.getFileContext(t.toUri(), self.conf).rename(fs.FileContext.getFileContext(t.toUri(), self.conf).makeQualified(s), fs.FileContext.getFileContext(t.toUri(), self.conf).makeQualified(t), options)
 
+    def size(self, path: str) -> int:
+        """The bytes of a file or of all files of a folder."""
+        p, fs = self._path(path)
+        return fs.getContentSummary(p).getLength()
+
     def delete(self, path: str) -> None:
         p, fs = self._path(path)
         fs.delete(p, True)

@@ -1,8 +1,8 @@
 """A table store of immutable Parquet parts and one manifest that names the current ones.
 
 An insert adds a part: its cost is that of the new rows. Updates, deletes and upserts that change
-rows write the table anew: their cost is that of the table, which is what file tables allow. A
-statement or a transaction becomes visible at once, when the manifest is replaced by one rename
+rows write anew the parts that hold such rows, and read the others at most; ``compact`` puts small
+parts together. A statement or a transaction becomes visible at once, when the manifest is replaced by one rename
 under a lock file; readers keep the parts that they started with. Two transactions that change one
 table cannot both commit. Old parts stay until ``vacuum``.
 """
@@ -92,6 +92,24 @@ class Store:
             self.files.write(fresh, json.dumps(now))
             self.files.replace(fresh, self._manifest_path)
 
+    def compact(self, key: str, below: int = 64 << 20) -> int:
+        """Put the parts of less than ``below`` bytes into one; how many there were. Fails if the table changes meanwhile."""
+        tx = self.begin()
+        size = {p: self.files.size(f"{self.root}/parts/{p}") for p in tx.parts(key)}
+        small = [p for p, n in size.items() if n < below]
+        if len(small) < 2:
+            return 0
+        d = tx.definition(key)
+        try:
+            wanted = max(1, -(-sum(size[p] for p in small) // (128 << 20)))
+            part = tx.write_part(d, tx.read_parts(d, small).coalesce(wanted))
+            tx.set_parts(key, [*(p for p in size if p not in small), part])
+            tx.commit()
+        except BaseException:
+            tx.rollback()
+            raise
+        return len(small)
+
     def vacuum(self) -> None:
         """Drop the parts that no table has any more. No reader or writer may be at work."""
         used = {p for t in self.manifest()["tables"].values() for p in t["parts"]}

@@ -132,7 +132,13 @@ def test_rendering():
         render(page, MYSQL)
     up = upsert(insert(u, ["id", "email"], (1, "a")), [u["id"]], set_(u["email"], excluded(u["email"])))
     assert render(up, POSTGRESQL).sql == 'INSERT INTO "users" ("id", "email") VALUES ($1, $2) ON CONFLICT ("id") DO UPDATE SET "email" = EXCLUDED."email"'
-    assert render(up, MYSQL).sql.endswith("ON DUPLICATE KEY UPDATE `email` = VALUES(`email`)")
+    free = upsert(insert(u, ["id", "email"], (1, "a")), [], set_(u["email"], excluded(u["email"])))
+    assert render(free, MYSQL).sql.endswith("ON DUPLICATE KEY UPDATE `email` = VALUES(`email`)")
+    # its clause can neither keep to the named key nor do nothing
+    for refused in (up, upsert(insert(u, ["id"], (1,)), [u["id"]])):
+        with pytest.raises(CapabilityError):
+            render(refused, MYSQL)
+    assert render(upsert(insert(u, ["id"], (1,)), [u["id"]]), SQLITE).sql.endswith('ON CONFLICT ("id") DO NOTHING')
     assert render(default_insert(u), POSTGRESQL).sql == 'INSERT INTO "users" DEFAULT VALUES'
     with pytest.raises(CapabilityError):
         render(up.with_returning(u["id"]), MYSQL)

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import Row
 
-from tessera.errors import DecodeError, MultipleRowsError, NoRowsError, QueryError, ValidationError
+from tessera.errors import DecodeError, HookError, MultipleRowsError, NoRowsError, QueryError, ValidationError
 from tessera.operators.builder import Table, decode_from, dynamic_select, select_from
 from tessera.operators.database import Database, Hook
 from tessera.operators.decode import DynamicRow, UInt64, convert, decode, snake_case
@@ -122,8 +122,13 @@ def test_builders_and_terminals(db):
         def __call__(self, op, e=None):
             raise RuntimeError("no")
 
-    with pytest.raises(RuntimeError):
-        q.all(db.with_hooks(Hook(before=Failing())))
+    seen.clear()
+    chained = db.with_hooks(Hook(lambda op: seen.append("one"), lambda op, e: seen.append(("after one", type(e)))), Hook(before=Failing(), after=lambda op, e: seen.append("never")), Hook(lambda op: seen.append("never")))
+    with pytest.raises(HookError) as failed:
+        q.all(chained)
+    assert isinstance(failed.value.__cause__, RuntimeError) and seen == ["one", ("after one", HookError)]
+    with pytest.raises(HookError):
+        next(q.query(chained))
     with pytest.raises(ExceptionGroup):
         q.all(db.with_hooks(Hook(after=Failing())))
 

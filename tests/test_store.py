@@ -9,11 +9,11 @@ import pytest
 
 from tessera import cli
 from tessera.codegen import check_module, query_module, store_module, write_module
-from tessera.errors import AmbiguousTableError, CapabilityError, ConstraintError, InspectionError, ManualMigrationError, MigrationError, TableNotFoundError, TransactionError, ValidationError
+from tessera.errors import AmbiguousTableError, CapabilityError, ConstraintError, DecodeError, InspectionError, ManualMigrationError, MigrationError, TableNotFoundError, TransactionError, ValidationError
 from tessera.migrations import Migration, Runner, diff_schemas, load_directory, write_migration
 from tessera.operators.builder import Table, delete_from
 from tessera.operators.database import Database
-from tessera.operators.typed import insert_returning, insert_rows, update_columns, update_row, update_where
+from tessera.operators.typed import insert_returning, insert_rows, update_columns, update_row, update_rows, update_where
 from tessera.operators.writes import insert_frame
 from tessera.plans import schema as s
 from tessera.plans.nodes import TableRef, default_insert, delete, equal, excluded, greater, insert, lower, project, set_, update, upper, upsert
@@ -212,7 +212,8 @@ def test_migrations(spark, db, tmp_path):
     changed = dataclasses.replace(m1, up=(("a.up.json", m1.up[0][1] + " "),))
     assert dict(runner.status([changed, m2]))["001"] == "changed"
     assert dict(runner.status([m1]))["002"] == "unknown"
-    assert dict(runner.status([m1, m2, Migration("0015", m1.up)]))["0015"] == "out_of_order"
+    late = dict(runner.status([m1, m2, Migration("0015", m1.up)]))
+    assert (late["001"], late["0015"], late["002"]) == ("applied", "pending", "out_of_order")
     for wrong in ([changed, m2], [m1], [m1, m2, Migration("0015", m1.up)], [m1, m1]):
         with pytest.raises(MigrationError):
             runner.plan(wrong)
@@ -292,3 +293,110 @@ def test_migration_lock(db):
     with pytest.raises(MigrationError):
         runner.apply([migration, broken])
     assert not store.files.exists(f"{store.root}/migrations.lock")
+
+
+def _sql(id_, text):
+    return Migration(id_, (("a.up.sql", text),))
+
+
+def test_sql_migrations_stay_in_the_transaction(spark, db):
+    m = s.table("m", s.column("id", I), s.column("said", X, nullable=True), s.CheckDef("id >= 0"), primary_key=["id"])
+    db.provider.create_table(m)
+    q = s.table("m", s.column("id", I), schema="other", primary_key=["id"])
+    db.provider.create_table(q)
+    t, runner = TableRef(m), Runner(db.provider)
+    db.exec(insert(t, ["id", "said"], (1, "one"), (2, "two")))
+    before = {k: v["parts"] for k, v in db.provider.manifest()["tables"].items()}
+    broken = ["INSERT INTO m VALUES (3, 'x'); SELECT nope FROM m", "INSERT INTO m VALUES (1, 'dup')", "UPDATE m SET id = -1 WHERE id = 1", "DELETE FROM m; INSERT INTO nowhere VALUES (1)", "CREATE TABLE z (a INT)", "DROP VIEW m", "INSERT OVERWRITE m VALUES (5, 'x')", "DELETE FROM m WHERE id IN (SELECT 1)", "UPDATE m SET nope = 1", "INSERT INTO m VALUES (7)"]
+    for i, text in enumerate(broken):
+        with pytest.raises(MigrationError):
+            runner.apply([_sql(f"{i:03}", text)])
+        assert rows(db, t, "id", "said") == [(1, "one"), (2, "two")], text
+        assert {k: v["parts"] for k, v in db.provider.manifest()["tables"].items() if k in before} == before
+    good = """
+        -- a comment; with a semicolon
+        INSERT INTO m (id, said) VALUES (3, 'a;b'), (4, 'it''s');  /* another; one */
+        UPDATE m SET said = upper(said) WHERE m.id >= 2 AND id < 4;
+        INSERT INTO `other.m` SELECT id * 10 FROM m WHERE id > 2;
+        DELETE FROM m AS x WHERE x.id = 1;
+        SELECT count(*) FROM m
+    """
+    assert runner.apply([_sql("900", good)]) == ["900"]
+    assert rows(db, t, "id", "said")[0] == (2, "TWO") and rows(db, t, "id", "said")[1] == (3, "A;B") and len(rows(db, t, "id")) == 3
+    assert rows(db, TableRef(q), "id") == [(30,), (40,)]
+    assert not [v for v in spark.catalog.listTables() if v.name in ("m", "other.m")]
+
+
+def test_returning_is_checked_before_the_commit(db):
+    @dataclasses.dataclass
+    class Wide:
+        id: int
+        name: str
+
+    @dataclasses.dataclass
+    class Wrong:
+        name: int
+
+    table = TableRef(P)
+    db.exec(insert(table, ["id", "name"], (1, "a"), (2, "b")))
+    for cls, returned in ((Wide, ["id"]), (Wrong, ["name"]), (None, ["id", "id"])):
+        with pytest.raises(DecodeError):
+            db.query_write_all(delete(table, all_rows=True).with_returning(*(table[c] for c in returned)), cls)
+        assert len(rows(db, table, "id")) == 2
+    assert sorted(r.name for r in db.query_write_all(delete(table, all_rows=True).with_returning(table["id"], table["name"]), Wide)) == ["a", "b"]
+    assert rows(db, table, "id") == []
+
+
+def test_only_touched_parts_are_written(db):
+    table = TableRef(P)
+    for i in range(4):
+        db.exec(insert(table, ["id", "name"], (10 * i, f"n{i}"), (10 * i + 1, f"m{i}")))
+
+    def parts():
+        return db.provider.manifest()["tables"]["p"]["parts"]
+
+    first = parts()
+    assert db.exec(update(table, set_(table["name"], "new"), where=equal(table["id"], 10))) == 1
+    assert [p for p in first if p not in parts()] == [first[1]] and len(parts()) == 5
+    assert db.exec(update(table, set_(table["name"], "x"), where=equal(table["id"], 999))) == 0 and db.exec(delete(table, where=equal(table["id"], 999))) == 0
+    second = parts()
+    assert len(second) == 5
+    assert db.exec(delete(table, where=equal(table["id"], 20))) == 1
+    assert [p for p in second if p not in parts()] == [first[2]]
+    third = parts()
+    db.exec(upsert(insert(table, ["id", "name"], (30, "up"), (77, "in")), [table["id"]], set_(table["name"], excluded(table["name"]))))
+    assert [p for p in third if p not in parts()] == [first[3]] and first[0] in parts()
+    fourth, want = parts(), rows(db, table, "id", "name")
+    person = Table(P, dataclasses.make_dataclass("Person", [("id", int), ("name", str)]))
+    assert update_rows(db, person, [person.row(1, "r1"), person.row(0, "r0"), person.row(55, "none")]) == 2
+    assert [p for p in fourth if p not in parts()] == [first[0]] and len(parts()) == len(fourth) + 1
+    got = rows(db, table, "id", "name")
+    assert got[:2] == [(0, "r0"), (1, "r1")] and got[2:] == want[2:]
+    with pytest.raises(ConstraintError):
+        update_rows(db, person, [person.row(1, "a"), person.row(1, "b")])
+    n = len(parts())
+    assert db.provider.compact("p") == n and len(parts()) == 1 and rows(db, table, "id", "name") == got
+    assert db.provider.compact("p") == 0
+
+
+def test_indexes_are_added(db):
+    q = s.table("q", s.column("id", I), s.column("name", X), primary_key=["id"])
+    db.provider.create_table(q)
+    table = TableRef(q)
+    db.exec(insert(table, ["id", "name"], (1, "a"), (2, "a")))
+    plain, unique = dataclasses.replace(q, indexes=(s.IndexDef(("name",)),)), dataclasses.replace(q, indexes=(s.IndexDef(("id", "name"), unique=True),))
+    wrong = dataclasses.replace(q, indexes=(s.IndexDef(("name",), unique=True),))
+    runner = Runner(db.provider)
+    for i, wanted in enumerate((plain, unique, wrong)):
+        (change,) = diff_schemas([q], [wanted])
+        m = Migration(f"00{i}", (("a.up.json", json.dumps([change.up])),), (("a.down.json", json.dumps([change.down])),))
+        if wanted is wrong:
+            with pytest.raises(MigrationError):
+                runner.apply([m])
+        else:
+            runner.apply([m])
+            assert db.provider.definition("q").indexes == wanted.indexes
+            runner.revert([m], steps=1)
+        assert db.provider.definition("q").indexes == ()
+    with pytest.raises(ManualMigrationError):
+        diff_schemas([plain], [q])

@@ -2,7 +2,8 @@
 
     python -m tessera.cli --store DIR status|plan|apply|revert|verify --migrations DIR [--through ID] [--steps N]
     python -m tessera.cli --store DIR diff --schema FILE.json --migrations DIR --id ID --name NAME
-    python -m tessera.cli --store DIR dump
+    python -m tessera.cli --store DIR diff-live --schema FILE.json
+    python -m tessera.cli --store DIR dump [--dialect postgresql|mysql|sqlite]
     python -m tessera.cli --store DIR generate [--settings FILE.json] [--out FILE.py] [--check]
 """
 
@@ -17,10 +18,12 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .codegen.settings import Settings
-from .errors import TesseraError
+from .errors import TesseraError, ValidationError
 from .migrations import Runner, diff_schemas, load_directory, write_migration
 from .migrations.diff import topological
 from .migrations.runner import State
+from .plans.dialect import DIALECTS
+from .plans.render import create_table
 from .plans.schema import TableDef
 from .sources.catalog import HISTORY, StoreInspector, sweep
 from .sources.store import Store
@@ -29,8 +32,8 @@ from .sources.store import Store
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="tessera")
     p.add_argument("--store", required=True)
-    p.add_argument("verb", choices="status plan apply revert verify diff dump generate".split())
-    for name in ("migrations", "schema", "id", "name", "through", "out", "settings"):
+    p.add_argument("verb", choices="status plan apply revert verify diff diff-live dump generate".split())
+    for name in ("migrations", "schema", "id", "name", "through", "out", "settings", "dialect"):
         p.add_argument(f"--{name}")
     p.add_argument("--steps", type=int)
     p.add_argument("--check", action="store_true")
@@ -53,6 +56,21 @@ def _live(store: Store, include: list[str] | None = None, exclude: list[str] | N
 
 def _run(a: argparse.Namespace, store: Store) -> int:
     runner = Runner(store)
+    if a.verb == "dump" and a.dialect:
+        if a.dialect not in DIALECTS:
+            raise ValidationError("dialect", f"there is no dialect {a.dialect}")
+        for t in topological(_live(store)):
+            for said in create_table(t, DIALECTS[a.dialect]):
+                print(f"{said.sql};")
+        return 0
+    if a.verb == "diff-live":
+        # what a migration would change; nothing is written
+        desired = [TableDef.from_json(x) for x in json.loads(Path(a.schema).read_text())]
+        for change in diff_schemas(_live(store), desired):
+            for step, what in change.up.items():
+                if step in ("create_table", "add_columns", "add_indexes"):
+                    print(step, TableDef.from_json(what).key if step == "create_table" else what)
+        return 0
     if a.verb == "dump":
         print(json.dumps([t.to_json() for t in topological(_live(store))], indent=2))
         return 0

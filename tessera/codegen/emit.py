@@ -28,11 +28,21 @@ def class_name(d: TableDef) -> str:
 
 def _field(c: ColumnDef) -> str:
     kind = "UInt64" if c.type.unsigned else _PYTHON[c.type.kind]
-    name = f"{c.name}_" if keyword.iskeyword(c.name) else c.name
+    name = _attribute(c.name)
     meta = f" = dataclasses.field(metadata={{'column': {c.name!r}}})"
     return f"    {name}: {kind}{' | None' if c.nullable else ''}{meta}"
 
 
+def _attribute(name: str) -> str:
+    return f"{name}_" if keyword.iskeyword(name) else name
+
+
+def _key(columns: tuple[str, ...]) -> str:
+    """The key of a row ``x``: a value, or a tuple of several."""
+    said = [f"x.{_attribute(c)}" for c in columns]
+    return said[0] if len(said) == 1 else f"({', '.join(said)})"
+
+
 def store_module(tables: Iterable[TableDef]) -> str:
     """A module with a row class, a description, a Table and relationship loaders for each table."""
     tables = sorted((t.validate() for t in tables), key=lambda t: t.key)
@@ -47,9 +57,11 @@ def store_module(tables: Iterable[TableDef]) -> str:
         out += ["", "@dataclasses.dataclass(frozen=True)", f"class {name}:", f'    """A row of {t.key}."""', "", *(_field(c) for c in t.columns), "", "", f"{t.name} = Table(TableDef.from_json(json.loads({json.dumps(t.to_json())!r})), {name})", ""]
     for t in tables:
         for r in t.relationships:
-            if r.table in by_name and len(r.columns) == 1:
-                loader = "load_has_many" if r.kind == "has_many" else "load_belongs_to"
-                out += ["", f"def {t.name}_{r.name}(db, rows):", f'    """{r.kind} {r.table}, by key."""', f"    return {loader}(db, {r.table}, {r.references[0]!r}, rows, lambda x: x.{r.columns[0]}, lambda x: x.{r.references[0]})", ""]
+            if r.table not in by_name:
+                raise ValidationError("generate", f"{t.key}.{r.name}: there is no table {r.table}")
+            loader = "load_has_many" if r.kind == "has_many" else "load_belongs_to"
+            column = repr(r.references[0] if len(r.columns) == 1 else r.references)
+            out += ["", f"def {t.name}_{r.name}(db, rows):", f'    """{r.kind} {r.table}, by key."""', f"    return {loader}(db, {r.table}, {column}, rows, lambda x: {_key(r.columns)}, lambda x: {_key(r.references)})", ""]
     return "\n".join(out) + "\n"
 
 
@@ -60,11 +72,25 @@ def query_module(templates: Iterable[Template], tables: Iterable[TableDef] = (),
     return "\n".join(['"""Queries; generated, do not edit."""', "", "import datetime", "import decimal", "", "from tessera.plans.render import Statement, precompiled", "", "", *body])
 
 
+def planned(path: str | Path, source: str) -> str:
+    """What writing a module would do: ``create``, ``update``, ``keep``, or ``refuse`` where the file is not a generated one."""
+    path = Path(path)
+    if not path.exists():
+        return "create"
+    have = path.read_text()
+    if have == source:
+        return "keep"
+    return "update" if "generated, do not edit" in have.partition("\n")[0] else "refuse"
+
+
 def write_module(path: str | Path, source: str) -> bool:
-    """Write a module if it differs; whether it did."""
+    """Write a module if it differs; whether it did. A file that was not generated is never written over."""
     path = Path(path)
     compile(source, str(path), "exec")
-    if path.exists() and path.read_text() == source:
+    what = planned(path, source)
+    if what == "refuse":
+        raise ValidationError("generate", f"{path} is there and was not generated")
+    if what == "keep":
         return False
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(source)

@@ -17,7 +17,7 @@ from typing import Any
 from ..errors import ValidationError
 from ..plans.schema import TableDef
 from ..plans.templates import Template, parse
-from .emit import check_module, query_module, store_module, write_module
+from .emit import check_module, planned, query_module, store_module, write_module
 
 
 @dataclass(frozen=True)
@@ -69,9 +69,15 @@ class Settings:
         return made
 
     def write(self, tables: Iterable[TableDef]) -> list[Path]:
-        """The modules that were written because they differed."""
+        """The modules that were written because they differed; none if one of the files was not generated."""
+        if foreign := [str(path) for path, what in self.plan(tables).items() if what == "refuse"]:
+            raise ValidationError("generate", f"{', '.join(foreign)} is there and was not generated")
         return [path for path, source in self.modules(tables).items() if write_module(path, source)]
 
+    def plan(self, tables: Iterable[TableDef]) -> dict[Path, str]:
+        """What ``write`` would do to each file; nothing is written."""
+        return {path: planned(path, source) for path, source in self.modules(tables).items()}
+
     def check(self, tables: Iterable[TableDef]) -> bool:
         """Whether all modules are up to date."""
         return all(check_module(path, source) for path, source in self.modules(tables).items())

@@ -8,29 +8,41 @@ from typing import Any, TypeVar
 from pyspark.sql import DataFrame
 
 from ..errors import ValidationError
-from ..plans.nodes import TableRef, in_
+from ..plans.nodes import Expression, TableRef, and_, equal, in_, or_
 from .builder import Table, select_from
 from .database import Database
 
 P, C, K = TypeVar("P"), TypeVar("C"), TypeVar("K")
 
 
-def load_has_many(db: Database, children: Table[C], key_column: str, parents: list[P], parent_key: Callable[[P], K], child_key: Callable[[C], K]) -> dict[K, list[C]]:
-    """The children of every parent, by key; a parent without any has an empty list."""
+def load_has_many(db: Database, children: Table[C], key_column: str | tuple[str, ...], parents: list[P], parent_key: Callable[[P], K], child_key: Callable[[C], K]) -> dict[K, list[C]]:
+    """The children of every parent, by key; a parent without any has an empty list. Keys of several columns are tuples."""
     keys = list(dict.fromkeys(map(parent_key, parents)))
     out: dict[K, list[C]] = {k: [] for k in keys}
-    if keys:
-        for child in select_from(children).where(in_(_column(children, key_column), *keys)).all(db):
+    if known := [k for k in keys if _whole(k)]:
+        for child in select_from(children).where(_among(children, key_column, known)).all(db):
             out.setdefault(child_key(child), []).append(child)
     return out
 
 
-def load_belongs_to(db: Database, owners: Table[C], key_column: str, rows: list[P], row_key: Callable[[P], K | None], owner_key: Callable[[C], K]) -> dict[K, C]:
+def load_belongs_to(db: Database, owners: Table[C], key_column: str | tuple[str, ...], rows: list[P], row_key: Callable[[P], K | None], owner_key: Callable[[C], K]) -> dict[K, C]:
     """The owner of every row that names one, by key; the last row of a key wins."""
-    keys = [k for k in dict.fromkeys(map(row_key, rows)) if k is not None]
+    keys = [k for k in dict.fromkeys(map(row_key, rows)) if _whole(k)]
     if not keys:
         return {}
-    return {owner_key(o): o for o in select_from(owners).where(in_(_column(owners, key_column), *keys)).all(db)}
+    return {owner_key(o): o for o in select_from(owners).where(_among(owners, key_column, keys)).all(db)}
+
+
+def _whole(key: Any) -> bool:
+    """Whether a key refers to anything; one with a null does not."""
+    return None not in key if isinstance(key, tuple) else key is not None
+
+
+def _among(table: Table, column: str | tuple[str, ...], keys: list) -> Expression:
+    if isinstance(column, str):
+        return in_(_column(table, column), *keys)
+    each = [and_(*(equal(_column(table, c), v) for c, v in zip(column, key, strict=True))) for key in keys]
+    return each[0] if len(each) == 1 else or_(*each)
 
 
 def _column(table: Table, name: str) -> Any:

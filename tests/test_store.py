@@ -9,6 +9,7 @@ import pytest
 
 from tessera import cli
 from tessera.codegen import check_module, query_module, store_module, write_module
+from tessera.codegen.settings import Settings
 from tessera.errors import AmbiguousTableError, CapabilityError, ConstraintError, DecodeError, InspectionError, ManualMigrationError, MigrationError, TableNotFoundError, TransactionError, ValidationError
 from tessera.migrations import Migration, Runner, diff_schemas, load_directory, write_migration
 from tessera.operators.builder import Table, delete_from
@@ -264,6 +265,20 @@ def test_generated_code(db, tmp_path):
     assert db.query_rendered_one(queries.by_id(1))["name"] == "a"
     with pytest.raises(ValidationError):
         store_module([P, s.in_schema(P, "x")])
+    pair = s.table("pair", s.column("a", I), s.column("class", X), primary_key=["a", "class"])
+    part = s.table("part", s.column("id", I), s.column("pa", I, nullable=True), s.column("pc", X, nullable=True), s.ForeignKeyDef(("pa", "pc"), "pair", ("a", "class")), s.RelationshipDef("whole", "belongs_to", "pair", ("pa", "pc"), ("a", "class")), primary_key=["id"])
+    pair = dataclasses.replace(pair, relationships=(s.RelationshipDef("parts", "has_many", "part", ("a", "class"), ("pa", "pc")),)).validate()
+    made = types.ModuleType("pairs")
+    exec(store_module([pair, part]), made.__dict__)
+    db.provider.create_table(pair)
+    db.provider.create_table(part)
+    pairs = [made.Pair(1, "x"), made.Pair(1, "y"), made.Pair(2, "x")]
+    insert_rows(db, made.pair, pairs)
+    insert_rows(db, made.part, parts := [made.Part(1, 1, "x"), made.Part(2, 1, "x"), made.Part(3, 2, "x"), made.Part(4, 1, None)])
+    assert made.part_whole(db, parts) == {(1, "x"): pairs[0], (2, "x"): pairs[2]}
+    assert {k: sorted(x.id for x in v) for k, v in made.pair_parts(db, pairs).items()} == {(1, "x"): [1, 2], (1, "y"): [], (2, "x"): [3]}
+    with pytest.raises(ValidationError):
+        store_module([part])
 
 
 def test_generation_settings(db, spark, tmp_path, capsys):
@@ -276,6 +291,14 @@ def test_generation_settings(db, spark, tmp_path, capsys):
     assert "class Person:" in (tmp_path / "store.py").read_text() and "c = Table" not in (tmp_path / "store.py").read_text()
     assert "def by_id(id: int)" in (tmp_path / "queries.py").read_text() and "def every()" in (tmp_path / "queries.py").read_text()
     assert run("--out", str(tmp_path / "other.py")) == 0 and (tmp_path / "other.py").exists()
+    # a file that was not generated is kept, and then nothing is written
+    (tmp_path / "store.py").write_text("mine = 1\n")
+    (tmp_path / "queries.py").unlink()
+    assert run() == 1 and (tmp_path / "store.py").read_text() == "mine = 1\n" and not (tmp_path / "queries.py").exists()
+    (tmp_path / "store.py").unlink()
+    how = Settings.load(path)
+    assert sorted(how.plan([P]).values()) == ["create", "create"] and len(how.write([P])) == 2
+    assert sorted(how.plan([P]).values()) == ["keep", "keep"]
     for wrong in ({"nope": 1}, {"root": "/"}, {"out": None}, {"queries_out": None}, {"include": ["zz"]}, {"exclude": ["c"]}, {"row_names": {"zz": "Z"}}, {"queries": [{"function": "f"}]}, {"queries": [{"function": "f", "sql": "SELECT 1"}] * 2}):
         path.write_text(json.dumps(said | wrong))
         assert run() == 1, wrong

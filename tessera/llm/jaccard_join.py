@@ -296,7 +296,10 @@ def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chunk_bytes = min(64 << 20, max(4 << 20, 512 << bits))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("key"))
     packed = slim.mapInArrow(releasing(_scan(k, bits, chunk_bytes)), "bucket int, chunk long, payload binary")
-    shared = packed.groupBy("bucket").applyInArrow(releasing(_count), "chunk long, bucket int, payload binary")
+    # stored here, the first shuffle, which is the largest, is gone before the next one and its result are written
+    shared = cut(packed.groupBy("bucket").applyInArrow(releasing(_count), "chunk long, bucket int, payload binary"))
+    del packed
+    drop_shuffles(spark)
     return shared.groupBy("chunk").applyInArrow(releasing(_gather(percent)), _DOC)
 
 

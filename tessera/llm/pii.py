@@ -276,3 +276,30 @@ def sanitise(docs: DataFrame, alpha: float = ALPHA, level: float = LEVEL) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
     return joined.mapInArrow(run, schema)
+
+
+#: The base columns alone; what terms disclose has no SQL. Matches are marked with code point 1, which the texts must not hold.
+BASE_ORACLE = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents
+), s AS (
+  SELECT r, 0 AS k, 'email' AS name, regexp_replace(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', chr(1) || '\0' || chr(1), 'g') AS y FROM t
+  UNION ALL SELECT r, 1, 'ip', regexp_replace(x, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', chr(1) || '\0' || chr(1), 'g') FROM t
+  UNION ALL SELECT r, 2, 'card', regexp_replace(x, '[0-9]([\x20-]?[0-9])+', chr(1) || '\0' || chr(1), 'g') FROM t
+  UNION ALL SELECT r, 3, 'phone', regexp_replace(x, '\+[0-9][\x20().0-9-]+[0-9]', chr(1) || '\0' || chr(1), 'g') FROM t
+), p AS (SELECT r, k, name, string_split(y, chr(1)) AS parts FROM s
+), m AS (SELECT *, unnest(range(2, len(parts) + 1, 2)) AS i FROM p WHERE len(parts) > 1
+), v AS (
+  SELECT r, k, name, parts[i] AS v, CAST(list_sum(list_transform(parts[:i - 1], lambda z: length(z))) AS BIGINT) AS a, regexp_replace(parts[i], '[^0-9]', '', 'g') AS d FROM m
+), f AS (
+  SELECT r, k, name, a, a + length(v) AS b FROM v WHERE CASE k
+    WHEN 1 THEN list_max(list_transform(string_split(v, '.'), lambda z: CASE WHEN length(ltrim(z, '0')) > 3 THEN 999 ELSE CAST('0' || ltrim(z, '0') AS INTEGER) END)) <= 255
+    WHEN 2 THEN length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(reverse(d)[j] AS INTEGER) ELSE 2 * CAST(reverse(d)[j] AS INTEGER) - CASE WHEN CAST(reverse(d)[j] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 3 THEN length(d) BETWEEN 10 AND 15 ELSE true END
+), g AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+    string_agg(name || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM f GROUP BY r
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256
+FROM t LEFT JOIN g USING (r)
+"""

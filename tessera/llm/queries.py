@@ -56,6 +56,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_sharding, op4_url_reputation, op5_html_text, op6_embedding_dedup, op7_token_codes, op8_mixing, op9_jaccard_join, op10_pii)}
+def pii_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10_pii says without its terms, which SQL can hold."""
+    return op10_pii(spark, sf_dir).drop("spans")
 
-ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE, "op3_sharding": sharding.ORACLE, "op4_url_reputation": url_reputation.ORACLE, "op6_embedding_dedup": embedding_dedup.ORACLE, "op8_mixing": mixing.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_sharding, op4_url_reputation, op5_html_text, op6_embedding_dedup, op7_token_codes, op8_mixing, op9_jaccard_join, op10_pii, pii_base_columns)}
+
+ORACLES: dict[str, str] = {"op1_decontamination": decontamination.ORACLE, "op3_sharding": sharding.ORACLE, "op4_url_reputation": url_reputation.ORACLE, "op6_embedding_dedup": embedding_dedup.ORACLE, "op8_mixing": mixing.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE, "pii_base_columns": pii.BASE_ORACLE}

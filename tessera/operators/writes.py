@@ -325,16 +325,25 @@ def hold(tx: Transaction, d: TableDef, parts: list[str], others: list[str]) -> N
         if c.type.unsigned:
             rules.append((f"{c.name} lies between 0 and 2^64 - 1", (col < 0) | (col > F.lit(Decimal(2**64 - 1)))))
     rules += [(d.constraint_name(k), ~F.expr(k.expression)) for k in d.checks]
-    if rules:
-        broken = rows.agg(*(F.max(F.coalesce(r, F.lit(False)).cast("int")).alias(f"r{i}") for i, (_, r) in enumerate(rules))).first()
-        for (said, _), n in zip(rules, broken, strict=True):
-            if n:
-                raise ConstraintError(d.key, said, "a row breaks it")
+    keys = []
     for name, columns, predicate in _keys(d):
         full = reduce(and_, (F.col(f"`{c}`").isNotNull() for c in columns))
-        full = full & F.expr(predicate) if predicate else full
-        new, old = (x.where(full).select(*columns) for x in (rows, rest))
-        if not new.groupBy(*columns).count().where("count > 1").limit(1).isEmpty() or others and not new.join(old, list(columns), "left_semi").limit(1).isEmpty():
+        keys.append((name, columns, full & F.expr(predicate) if predicate else full))
+    # one pass over the new rows for all of their own rules and keys
+    asked = [F.max(F.coalesce(r, F.lit(False)).cast("int")) for _, r in rules]
+    for _, columns, full in keys:
+        asked += [F.count(F.when(full, 1)), F.count_distinct(F.when(full, F.struct(*(F.col(f"`{c}`") for c in columns))))]
+    if not asked:
+        return
+    said = list(rows.agg(*(a.alias(f"r{i}") for i, a in enumerate(asked))).first())
+    for (rule, _), n in zip(rules, said[: len(rules)], strict=True):
+        if n:
+            raise ConstraintError(d.key, rule, "a row breaks it")
+    for i, (name, columns, full) in enumerate(keys):
+        n, apart = said[len(rules) + 2 * i : len(rules) + 2 * i + 2]
+        if n != apart:
+            raise ConstraintError(d.key, name, f"two rows have the same {', '.join(columns)}")
+        if n and others and not rows.where(full).select(*columns).join(rest.where(full).select(*columns), list(columns), "left_semi").isEmpty():
             raise ConstraintError(d.key, name, f"two rows have the same {', '.join(columns)}")
 
 
@@ -355,7 +364,7 @@ def _hold_references(tx: Transaction, d: TableDef, parts: list[str]) -> None:
         parent = _parent(tx, f)
         own = rows.where(reduce(and_, (F.col(c).isNotNull() for c in f.columns))).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(f.columns)))
         there = tx.read(parent).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(f.references)))
-        if not own.join(there, own.columns, "left_anti").limit(1).isEmpty():
+        if not own.join(there, own.columns, "left_anti").isEmpty():
             raise ConstraintError(d.key, d.constraint_name(f), f"{f.table} has no such row")
 
 
@@ -375,7 +384,7 @@ def _act(tx: Transaction, child: TableDef, f: ForeignKeyDef, action: Action, key
     rows = tx.read(child)
     pairs = [f"_k{i}" for i in range(len(f.columns))]
     hit = rows.join(keys.select(*pairs).distinct(), reduce(and_, (rows[c] == keys[p] for c, p in zip(f.columns, pairs, strict=True))), "left_semi")
-    if hit.limit(1).isEmpty():
+    if hit.isEmpty():
         return
     if action in (Action.NO_ACTION, Action.RESTRICT):
         raise ConstraintError(child.key, child.constraint_name(f), "rows refer to what would go")

@@ -262,10 +262,12 @@ def _store_root(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, sf_dir: str) -> Database:
     store = Store(spark, _store_root(spark))
     db = Database(spark, store)
+    tx = db.begin()
     for d in (_S_REGION, _S_NATION, _NOTE):
-        store.create_table(d)
+        tx.transaction.create_table(d)
     for d in (_S_REGION, _S_NATION):
-        insert_frame(db, d, ParquetDirectory(spark, sf_dir).read(d).select(*(x.name for x in d.columns)))
+        insert_frame(tx, d, ParquetDirectory(spark, sf_dir).read(d).select(*(x.name for x in d.columns)))
+    tx.commit()
     return db
 
 

@@ -39,7 +39,7 @@ def connected(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
 
     Each round hangs every node's larger neighbours on the smallest one, then its smaller ones;
     rounds grow with the logarithm of the longest path. Nothing but one checksum row a round
-    reaches the driver.
+    reaches the driver. Edges with a null end or two equal ends connect nothing; repeated edges count once.
     """
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
     now = cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())

@@ -311,8 +311,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one row of every component: that of the smallest id, then of the smallest text hash.
 
-    Rows without words link with nothing and stay.
+    Rows without words link with nothing and stay. Columns named like this function's own are refused.
     """
+    if taken := {"__lose_id", "__lose_key"} & set(docs.columns):
+        raise ValueError(f"the rows already have columns named {sorted(taken)}")
     rows = cut(_components(docs, id_col, text_col, k, percent).where("n > 0").select("doc_id", "key", "root"))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("x")).select("root", F.col("x.doc_id").alias("best_id"), F.col("x.key").alias("best_key"))
     best = cut(best)

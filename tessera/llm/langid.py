@@ -376,6 +376,8 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
 def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text has a language with a probability of at least ``least``."""
     names = ("__lang_pred", "__lang_score")
+    if taken := set(names) & set(docs.columns):
+        raise ValueError(f"the rows already have columns named {sorted(taken)}")
     rows = predict(docs, model, keep=tuple(docs.columns), names=names)
     return rows.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).drop(*names)
 

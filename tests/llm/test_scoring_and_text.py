@@ -71,6 +71,8 @@ def test_language_id(spark):
     assert all(by[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(60))
     kept = langid.accepted(docs, langid.fit_open(docs))
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
+    with pytest.raises(ValueError):
+        langid.accepted(docs.withColumnRenamed("score", "__lang_pred"), langid.fit_open(docs))
     assert langid.identify(docs.limit(0)).collect() == []
     assert {r["lang_pred"] for r in langid.identify(docs.select("doc_id", "text", docs["lang"].substr(1, 0).alias("none"), *[]).selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
 

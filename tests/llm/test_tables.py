@@ -31,7 +31,7 @@ def test_components(spark):
         a, b = top(a), top(b)
         up[max(a, b)] = min(a, b)
     want = {x: top(x) for a, b in edges if a != b for x in (a, b)}
-    df = spark.createDataFrame(edges, "a long, b long")
+    df = spark.createDataFrame([*edges, (None, 5), (5, None), (None, None)], "a long, b long")
     for one_task in (0, 10_000):
         assert {r["node"]: r["root"] for r in components.connected(df, one_task).collect()} == want
     old = components.STORE_FROM
@@ -404,6 +404,8 @@ def test_jaccard(spark, block, wide, hot, monkeypatch):
         for extra in ([], [(2, "one two three")], [(2, "one two three")] * 3 + [(3, "ONE two three")]):
             left = jaccard_join.keep_one(spark.createDataFrame([(d, t, f"r{i}") for i, (d, t) in enumerate(some + extra)], "doc_id long, text string, root string")).collect()
             assert Counter((r["doc_id"], r["text"]) for r in left) == Counter(some)
+        with pytest.raises(ValueError):
+            jaccard_join.keep_one(docs.withColumnRenamed("n_chars", "__lose_id"))
         assert jaccard_join.jaccard_components(docs.limit(0)).collect() == [] and jaccard_join.keep_one(docs.limit(0)).collect() == []
 
 

@@ -1,8 +1,8 @@
 """Command line: migrations and code generation for a store.
 
     python -m tessera.cli --store DIR status|plan|apply|revert|verify --migrations DIR [--through ID] [--steps N]
-    python -m tessera.cli --store DIR diff --schema FILE.json --migrations DIR --id ID --name NAME
-    python -m tessera.cli --store DIR diff-live --schema FILE.json
+    python -m tessera.cli --store DIR diff --schema FILE.json|FILE.sql --migrations DIR --id ID --name NAME
+    python -m tessera.cli --store DIR diff-live --schema FILE.json|FILE.sql
     python -m tessera.cli --store DIR dump [--dialect postgresql|mysql|sqlite]
     python -m tessera.cli --store DIR generate [--settings FILE.json] [--out FILE.py] [--check]
 """
@@ -22,6 +22,7 @@ from .errors import TesseraError, ValidationError
 from .migrations import Runner, diff_schemas, load_directory, write_migration
 from .migrations.diff import topological
 from .migrations.runner import State
+from .plans.ddl import parse_ddl
 from .plans.dialect import DIALECTS
 from .plans.render import create_table
 from .plans.schema import TableDef
@@ -54,6 +55,12 @@ def _live(store: Store, include: list[str] | None = None, exclude: list[str] | N
     return sweep(inspector, include, exclude)
 
 
+def _desired(path: str) -> list[TableDef]:
+    """The tables of a JSON file, or of DDL text in a file that ends in .sql."""
+    text = Path(path).read_text()
+    return parse_ddl(text) if path.endswith(".sql") else [TableDef.from_json(x) for x in json.loads(text)]
+
+
 def _run(a: argparse.Namespace, store: Store) -> int:
     runner = Runner(store)
     if a.verb == "dump" and a.dialect:
@@ -65,7 +72,7 @@ def _run(a: argparse.Namespace, store: Store) -> int:
         return 0
     if a.verb == "diff-live":
         # what a migration would change; nothing is written
-        desired = [TableDef.from_json(x) for x in json.loads(Path(a.schema).read_text())]
+        desired = _desired(a.schema)
         for change in diff_schemas(_live(store), desired):
             for step, what in change.up.items():
                 if step in ("create_table", "add_columns", "add_indexes"):
@@ -85,7 +92,7 @@ def _run(a: argparse.Namespace, store: Store) -> int:
             print(path)
         return 0
     if a.verb == "diff":
-        desired = [TableDef.from_json(x) for x in json.loads(Path(a.schema).read_text())]
+        desired = _desired(a.schema)
         print(write_migration(a.migrations, a.id, a.name or "change", diff_schemas(_live(store), desired)))
         return 0
     migrations = load_directory(a.migrations)

@@ -533,6 +533,22 @@ def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, rows, "verb string, code int, said string")
 
 
+@_registered(_values("place, step", "(0, 'create_table account')", "(1, 'add_indexes big')"))
+def diff_of_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The difference to a schema that is given as DDL text; the store's own tables, dumped as DDL, differ in nothing."""
+    store, out = _empty(spark, replace(_BIG, columns=(s.column("id", I), s.column("name", s.text())))).provider, io.StringIO()
+    with tempfile.TemporaryDirectory() as root, redirect_stdout(out):
+        path = Path(root) / "schema.sql"
+        cli.main(["--store", store.root, "dump", "--dialect", "postgresql"], spark)
+        path.write_text(out.getvalue())
+        if cli.main(["--store", store.root, "diff-live", "--schema", str(path)], spark) or out.getvalue() != path.read_text():
+            raise AssertionError("a dumped schema differs from its store")
+        said = out.getvalue()
+        path.write_text(f"{said} CREATE INDEX by_name ON big (name); " + "; ".join(x.sql for x in create_table(_ACCOUNT, POSTGRESQL)))
+        cli.main(["--store", store.root, "diff-live", "--schema", str(path)], spark)
+    return _rows(spark, list(enumerate(out.getvalue()[len(said) :].split("\n")[:-1])), "place int, step string")
+
+
 # -- generated code
 
 

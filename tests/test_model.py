@@ -4,6 +4,7 @@ import pytest
 
 from tessera.errors import CapabilityError, ValidationError
 from tessera.plans import schema as s
+from tessera.plans.ddl import parse_ddl
 from tessera.plans.dialect import MYSQL, POSTGRESQL, SPARK, SQLITE
 from tessera.plans.nodes import (
     Compare, Delete, Function, Logical, Membership, TableRef, and_, asc, avg, bind, call, coalesce, count, count_all, delete, desc, equal, excluded, func, greater, in_, in_select,
@@ -180,3 +181,19 @@ def test_templates():
             parse("q", wrong)
     assert avg(u["id"]).aggregates and not func("avg", u["id"]).aggregates
     assert isinstance(in_(u["id"], 1), Membership)
+
+
+def test_ddl_text_reads_back():
+    full = s.table("t", s.column("id", s.integer(), identity=s.Identity.ALWAYS), s.column("n", s.text(5), nullable=True), s.column("f", s.text(3, fixed=True), default="'a,)'' b'"), s.column("d", s.decimal(6, 2), default="(1 + 2) * 3"), s.column("u", s.uuid()), s.column("at", s.time(), nullable=True), s.column("ok", s.boolean(), default="NULL", nullable=True), s.column("x", s.float_()), s.column("j", s.json_()), s.column("b", s.bytes_()), s.column("twice", s.decimal(6, 2), nullable=True, generated="d * (2)", stored=True), s.CheckDef("d >= 0 AND (n <> ')')", "pos"), s.UniqueDef(("n", "f")), s.UniqueDef(("f",), "only"), s.IndexDef(("n",), predicate="n IS NOT NULL"), s.IndexDef(("x",), "by_x", unique=True), s.ForeignKeyDef(("n",), "x", ("k",), schema="app", name="far", on_delete=s.Action.SET_NULL, on_update=s.Action.CASCADE), schema="app", primary_key=["id"])
+    plain = s.table("p", s.column("id", s.integer()), s.column("big", s.integer(unsigned=True), nullable=True), s.column("said", s.text()), primary_key=["id"])
+    assert parse_ddl("".join(f"{x.sql};\n" for x in create_table(full, POSTGRESQL))) == [full]
+    assert parse_ddl(";".join(x.sql for x in create_table(plain, MYSQL))) == [plain]
+    (made,) = parse_ddl("""-- a comment; with a semicolon
+        create table if not exists people (id serial primary key, mail varchar(40) unique default 'a;b' not null /* must */,
+            boss int references people (id) on delete set null, born timestamp with time zone check (born > '1900-01-01'), constraint c check (id > 0));
+        CREATE UNIQUE INDEX IF NOT EXISTS "by_boss" ON people (boss) WHERE boss > 0""")
+    assert made == s.table("people", s.column("id", s.integer(), identity=s.Identity.BY_DEFAULT), s.column("mail", s.text(40), default="'a;b'"), s.column("boss", s.integer(), nullable=True), s.column("born", s.time(), nullable=True), s.UniqueDef(("mail",)), s.CheckDef("born > '1900-01-01'"), s.CheckDef("id > 0", "c"), s.IndexDef(("boss",), "by_boss", True, "boss > 0"), s.ForeignKeyDef(("boss",), "people", ("id",), on_delete=s.Action.SET_NULL), primary_key=["id"])
+    assert parse_ddl(" ;; ") == []
+    for wrong in ("DROP TABLE t", "CREATE TABLE t (a INT", "CREATE TABLE t (a POINT)", "CREATE TABLE t (a INT STRANGE)", "CREATE TABLE t (a INT) ENGINE x", "CREATE INDEX i ON t (a)", "CREATE TABLE t (a INT); CREATE TABLE t (a INT)", "CREATE VIEW v AS SELECT 1", "CREATE TABLE t (a NUMERIC)", "CREATE TABLE t (a INT, CONSTRAINT x b INT)", "CREATE TABLE t (a INT DEFAULT)", "CREATE TABLE t (a INT CHECK (a > 0)"):
+        with pytest.raises(ValidationError):
+            parse_ddl(wrong)

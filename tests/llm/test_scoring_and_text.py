@@ -340,3 +340,64 @@ def test_rare_entities_have_disclosing_terms(spark):
 def test_vocabulary(name):
     found = langid.vocabulary(public_tokenizers.path(name))
     assert len(set(found)) == len(found) > 30_000 and found[-1] == b"\xff"
+
+
+def brute_terms(texts, alpha, level):
+    """text -> its term spans, by counting over all distinct texts."""
+    from collections import Counter
+
+    texts = {t for t in texts if t}
+    spans = {t: brute(t) for t in texts}
+
+    def words(t, own):
+        return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", t) if not any(a < m.end() and m.start() < b for a, _, b in own)]
+
+    count = {}
+    for t in texts:
+        lines = "\n".join(dict.fromkeys(t.split("\n")))
+        count[t] = Counter(w for _, _, w in words(lines, brute(lines)))
+    holds = {t: {t[a:b].lower() for a, _, b in spans[t]} for t in texts}
+    kinds = {w for c in count.values() for w in c}
+    times = {w: sum(c[w] for c in count.values()) for w in kinds}
+    n_term = {w: sum(w in c for c in count.values()) for w in kinds}
+    total, running, told = len(texts), sum(times.values()), {}
+    for e in {e for h in holds.values() for e in h}:
+        own = [t for t in texts if e in holds[t]]
+        share = sum(count[t].total() for t in own) / running
+        for w in {w for t in own for w in count[t]}:
+            n_both = sum(w in count[t] for t in own)
+            information = math.log(total / len(own))
+            if information <= 0 or math.log(n_both * total / (len(own) * n_term[w])) < alpha * information:
+                continue
+            q = sum(count[t][w] for t in own) / times[w]
+            apart = q * math.log(q / share) + ((1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else 0)
+            if q > share and times[w] * apart >= math.log(len(kinds) / level):
+                told.setdefault(e, set()).add(w)
+    return {t: {(a, b) for a, b, w in words(t, spans[t]) if any(w in told.get(e, ()) for e in holds[t])} for t in texts}
+
+
+@pytest.mark.parametrize("alpha,level", [(0.8, 0.05), (0.5, 1.0), (0.95, 0.001)])
+def test_terms_by_brute_force(spark, alpha, level):
+    rng = np.random.default_rng(11)
+    common, rare = [f"word{i}" for i in range(40)], [f"clue{i}" for i in range(12)]
+    texts = []
+    for i in range(220):
+        words = list(rng.choice(common, rng.integers(5, 40)))
+        if i % 4 == 0:
+            who = int(rng.integers(0, 12))
+            words.insert(int(rng.integers(0, len(words))), f"user{who}@mail.example")
+            if rng.random() < 0.8:
+                words += [rare[who]] * int(rng.integers(1, 4))
+        elif rng.random() < 0.05:
+            words.append(str(rng.choice(rare)))
+        texts.append(("\n" if i % 3 else " ").join(words))
+    texts += texts[:20] * 3 + ["", None]
+    want = brute_terms(texts, alpha, level)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_spans(docs, alpha, level).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        terms = {(int(a), int(b)) for k, a, b in (x.split(":") for x in got[i].split(",") if x) if k == "term"}
+        assert terms == (want[t] if t else set()), (i, t)
+        found += len(terms)
+    assert found > 10
